@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import quality, simhash
+from corpusloom.llm import bpe, decontamination, quality, secrets, simhash
 from corpusloom.llm.common import scratch, table
 
 
@@ -18,9 +18,27 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_filter(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text; every document stays."""
+    return secrets.redact(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, tokens, round_trip) of each document."""
+    return bpe.encode(docs)
+
+
 STAGES = [
     ("quality classifier", quality_stage),
     ("SimHash near-dedup", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("byte-level BPE encoding and decoding", tokens_stage),
 ]
 
 #: Language-model probabilities, fingerprint search and merge replay have no SQL form; tests/llm compares
