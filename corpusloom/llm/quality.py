@@ -103,7 +103,8 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     observed context of an m-gram leaves to the lower order. Each level is a join of sharded count tables."""
     levels = {order: counts}
     for m in range(order - 1, 0, -1):
-        levels[m] = levels[m + 1].select("lang", F.col("gram").bitwiseAND((1 << 8 * m) - 1).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+        gram = F.col("gram").bitwiseAND((1 << 8 * m) - 1).alias("gram")
+        levels[m] = common.written(levels[m + 1].select("lang", gram).groupBy("lang", "gram").agg(F.count("*").alias("n")), f"kn-n{m}")
     lower: DataFrame | None = None
     out: list[DataFrame] = []
     for m in range(1, order + 1):
@@ -121,7 +122,7 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
         cut = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
         cut = F.least(cut, n * 0.9)
         parts = level.join(common.small(discounts), "lang").select("lang", "gram", F.shiftright("gram", 8).alias("context"), n.cast("double").alias("n"), cut.alias("cut"))
-        contexts = parts.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("taken"))
+        contexts = common.written(parts.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("taken")), f"kn-c{m}")
         grams = parts.join(contexts, ["lang", "context"])
         left = F.col("taken") / F.col("total")
         own = (F.col("n") - F.col("cut")) / F.col("total")
@@ -143,12 +144,13 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
 class Model:
     """Probabilities of one or more languages as sorted arrays; scores codes of the highest order."""
 
-    def __init__(self, frame: pd.DataFrame, order: int) -> None:
+    def __init__(self, model: DataFrame, order: int) -> None:
         self.order = order
         self.tables: dict[tuple[str, int, str], tuple[np.ndarray, np.ndarray]] = {}
-        for (lang, m, kind), part in frame.groupby(["lang", "m", "kind"], sort=False):
+        for lang, m, kind in map(tuple, model.select("lang", "m", "kind").distinct().collect()):
+            part = model.filter((F.col("lang") == lang) & (F.col("m") == m) & (F.col("kind") == kind)).select("gram", F.col("p").cast("float")).toPandas()
             at = np.argsort(part.gram.to_numpy(), kind="stable")
-            self.tables[lang, m, kind] = part.gram.to_numpy()[at], part.p.to_numpy(np.float64)[at]
+            self.tables[lang, m, kind] = part.gram.to_numpy()[at], part.p.to_numpy()[at]
 
     def knows(self, lang: str) -> bool:
         return (lang, 1, "p") in self.tables
@@ -170,7 +172,7 @@ class Model:
 
 def _score_local(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Model(model.toPandas(), order))
+    shared = spark.sparkContext.broadcast(Model(model, order))
 
     def score(batches):
         scorer: Model = shared.value
