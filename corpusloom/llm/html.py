@@ -9,7 +9,8 @@ Defined results
     * null or empty html gives an empty text; a page without a host (null or relative url) has no template
     * one row for each row of ``pages``; equal rows count as one page of their host
     * unclosed elements end where their parent ends; stray end tags are ignored
-    * the root elements (html, head, body) are never template themselves
+    * only block elements (nav, div, p, li, ...) are cut, so sentences keep their links and emphasis; the roots
+      (html, head, body) are never template themselves
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
-PAGES, SHARE = 3, 0.02
+PAGES, SHARE = 3, 0.01
 #: Template subtrees up to which they are broadcast; beyond, each page is joined with its own.
 TEMPLATES = 2_000_000
 
@@ -36,6 +37,7 @@ _CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"
 #: Block starts that end an open paragraph.
 _PARAGRAPH = _BLOCK - {"br", "body", "head", "html", "title"}
 _ROOTS = frozenset(("html", "head", "body"))
+_CUT = _BLOCK - _ROOTS
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
@@ -119,14 +121,14 @@ def _key(element: Element, host: str) -> int:
 
 
 def subtrees(root: Element, host: str) -> set[int]:
-    """Keys of all subtrees with text or children, but the roots."""
+    """Keys of all block subtrees with text or children, but the roots."""
     out, stack = set(), [root]
     while stack:
         for child in stack.pop().children:
             if isinstance(child, Element):
                 if child.children:
                     stack.append(child)
-                    if child.tag not in _ROOTS:
+                    if child.tag in _CUT:
                         out.add(_key(child, host))
     return out
 
@@ -152,10 +154,9 @@ def content(root: Element, host: str | None, template) -> tuple[str, int]:
             words.append(node)
         elif node.tag == "head":
             continue
-        elif host and template and node.children and node.tag not in _ROOTS and _key(node, host) in template:
+        elif host and template and node.children and node.tag in _CUT and _key(node, host) in template:
             gone += 1
-            if node.tag in _BLOCK:
-                flush()
+            flush()
         else:
             if node.tag in _BLOCK:
                 flush()

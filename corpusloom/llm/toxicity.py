@@ -3,17 +3,20 @@
 Log-odds of a word are those of occurring in a toxic rather than a clean labelled document, with an
 informative Dirichlet prior: pseudo-counts in proportion to the word's document frequency in the whole
 corpus. Words whose log-odds differ from 0 by ``Z`` standard deviations score their log-odds, all others
-score ``-DRIFT``. The linear-time scan of Ruzzo and Tompa finds all maximal scoring segments of a document.
+score ``-DRIFT``. Copies of one toxic text would make all its words look toxic, so a word only has a positive
+score if its toxic occurrences have many contexts (pairs of neighbouring words): ``CONTEXTS`` of its toxic
+documents at least. The linear-time scan of Ruzzo and Tompa finds all maximal scoring segments of a document.
 Scores are calibrated as extreme values: lambda solves the Karlin-Altschul equation for the scores of clean
-text, K is fitted to the best segments of the clean labelled documents, and a document is toxic if its best
-segment would be exceeded by chance with a probability of at most ``ALPHA``.
+text, and K is fitted to the best segments of the clean labelled documents. A document's p-value is the least
+that the sum statistic of its r best segments has over all r, each r weighted by 2**-r; the document is toxic
+if that is at most ``ALPHA``. Passages are the segments whose own E-value is at most ``E_VALUE``.
 
 Defined results
     * null and empty texts, and texts without words, have no segments, p-value 1, and aren't toxic
     * one row for each row of ``docs``; labels with null toxic count as unlabelled, a document with both
       labels as toxic; repeated label rows count once
     * without both kinds of labelled documents no word has a score and nothing is toxic
-    * segments are given as word numbers (end exclusive) in order; those with E-value at most ``ALPHA`` count
+    * segments are given as word numbers (end exclusive) in order; segments of equal score keep that order
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common, text
 from corpusloom.llm.vocabulary import in_document
 
-PRIOR = 1_000.0
-Z = 3.0
+PRIOR = 100.0
+Z = 4.0
 LEAST = 5
+CONTEXTS = 0.25
 DRIFT = 1.0
-ALPHA = 1e-3
+ALPHA = 1e-4
+E_VALUE = 0.01
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -81,10 +86,36 @@ def log_odds(counts: DataFrame, toxic: int, clean: int, total: int) -> DataFrame
     # documents without the word, and the prior's
     odds = F.log(t / (toxic + PRIOR - t + 1)) - F.log(c / (clean + PRIOR - c + 1))
     spread = F.sqrt(1 / t + 1 / c)
-    scored = counts.filter(F.col("toxic") + F.col("clean") >= LEAST).select("word", odds.alias("odds"), (odds / spread).alias("z"), "clean_tokens")
+    scored = counts.filter(F.col("toxic") + F.col("clean") >= LEAST).select("word", odds.alias("odds"), (odds / spread).alias("z"), "toxic", F.expr(f"(clean + {PRIOR / max(total, 1)} * every) / {clean + PRIOR}").alias("clean_share"))
     return scored.filter(F.abs("z") >= Z)
 
 
+def varied(docs: DataFrame, candidates: pd.DataFrame) -> np.ndarray:
+    """Which of the candidates (word, toxic) have enough different contexts in toxic documents."""
+    order = np.argsort(candidates.word.to_numpy(np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(candidates.word.to_numpy(np.int64).view(np.uint64)[order])
+
+    def contexts(batches):
+        known = shared.value
+        for batch in batches:
+            for chunk in text.chunks(batch.column("text")):
+                w = text.words(chunk)
+                if not len(w.hash) or not len(known):
+                    continue
+                at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
+                places = np.flatnonzero(known[at] == w.hash)
+                last = len(w.hash) - 1
+                inside = w.doc[places]
+                left = np.where(places > w.first[inside], w.hash[np.maximum(places - 1, 0)], np.uint64(1))
+                right = np.where(places + 1 < w.first[inside + 1], w.hash[np.minimum(places + 1, last)], np.uint64(2))
+                pairs = np.unique(np.stack([w.hash[places], text.mix(left * np.uint64(3) + text.mix(right))], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in range(2)], names=["word", "context"])
+
+    found = docs.filter("toxic = 1").select("text").mapInArrow(contexts, "word long, context long")
+    n = found.distinct().groupBy("word").agg(F.count("*").alias("n")).toPandas().set_index("word").n
+    return candidates.word.map(n).fillna(0).to_numpy() >= np.maximum(CONTEXTS * candidates.toxic.to_numpy(), 3)
+
+
 def karlin_lambda(scores: np.ndarray, shares: np.ndarray) -> float:
     """Positive root of sum(shares * exp(lambda * scores)) = 1, for a negative mean and a positive score."""
     lo, hi = 1e-6, 1.0
@@ -164,22 +195,32 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) ->
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     source = docs.select("doc_id", "text").join(common.small(known.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "toxic")
     counts = common.written(_counts(source), "odds")
-    sizes = source.agg(F.count_if("toxic = 1"), F.count_if("toxic = 0"), F.count("*")).first()
+    sizes = source.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0), F.count("*")).first()
     toxic, clean, total = sizes
-    model = log_odds(counts, toxic, clean, total).toPandas() if toxic and clean else pd.DataFrame({"word": [], "odds": [], "clean_tokens": []})
+    model = pd.DataFrame({"word": [], "odds": [], "toxic": [], "clean_share": []})
+    if toxic and clean:
+        model = log_odds(counts, toxic, clean, total).toPandas()
+        model = model[(model.odds < 0) | varied(source, model)]
     words, odds = model.word.to_numpy(np.int64), model.odds.to_numpy(np.float64)
     tokens = counts.agg(F.sum("clean_tokens")).first()[0] or 0
     segments = common.written(_segments(source, words, odds), "segments")
     rate = 1.0
     if (odds > 0).any():
-        # shares of the scores in clean text, half a token for a word that has none
-        shares = (model.clean_tokens.to_numpy(np.float64) + 0.5) / (tokens + 1)
+        # shares of the scores among the tokens of clean text, with the prior
+        shares = model.clean_share.to_numpy(np.float64) * (clean / max(tokens, 1))
         rest = max(1 - shares.sum(), 0.0)
         rate = karlin_lambda(np.append(odds, -DRIFT), np.append(shares, rest))
     top = F.coalesce(F.array_max(F.transform("segments", lambda x: x.score)), F.lit(0.0))
     fitted = segments.filter("toxic = 0 and n_words > 0").agg(F.count("*") / F.sum(F.col("n_words") * F.exp(-rate * top))).first()[0]
     k = fitted or 1.0
     e_value = lambda s: k * F.col("n_words") * F.exp(-rate * s)
-    best = F.when(top > 0, 1 - F.exp(-e_value(top))).otherwise(1.0)
-    passages = F.filter(F.transform("segments", lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.score.alias("score"), e_value(x.score).alias("e_value"))), lambda x: x.e_value <= alpha)
+    # log p of the r best: -t + (r - 1) log t - log r! - log (r - 1)! + r log 2, with t the sum of lambda S - log K n
+    steps = f"""aggregate(
+        sort_array(transform(segments, x -> {rate}D * x.score - ln({k}D * n_words)), false),
+        named_struct('t', 0D, 'r', 0D, 'fact', 0D, 'best', 0D),
+        (a, x) -> named_struct('t', a.t + x, 'r', a.r + 1D, 'fact', a.fact + ln(a.r + 1D) + if(a.r > 0D, ln(a.r), 0D),
+            'best', if(a.t + x > 1D, least(a.best, -(a.t + x) + a.r * ln(a.t + x) - a.fact - ln(a.r + 1D) - if(a.r > 0D, ln(a.r), 0D) + (a.r + 1D) * ln(2D)), a.best)),
+        a -> exp(a.best))"""
+    best = F.when(F.size("segments") > 0, F.expr(steps)).otherwise(1.0)
+    passages = F.filter(F.transform("segments", lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.score.alias("score"), e_value(x.score).alias("e_value"))), lambda x: x.e_value <= E_VALUE)
     return segments.select("doc_id", "n_words", top.alias("score"), best.alias("p_value"), (best <= alpha).alias("is_toxic"), passages.alias("passages"))
