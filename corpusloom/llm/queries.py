@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, decontamination, html, language, quality, secrets, simhash, substrings, toxicity
+from corpusloom.llm import bpe, decontamination, edits, html, language, quality, secrets, simhash, substrings, toxicity
 from corpusloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
