@@ -7,7 +7,9 @@ text keeps, for each document, the places of those words. All later passes read
 2. a distributed randomised SVD of the TF-IDF matrix of blocks: every partition adds its part of
    A^T(A W), the driver orthonormalises that matrix (terms x ``RANK`` + oversampling), and a second pass
    adds the small Gram matrix that gives singular values and vectors;
-3. windows of two neighbouring blocks are projected and compared by cosine with all pieces of all items;
+3. windows of two neighbouring blocks are projected and compared by cosine with all pieces of all items. What
+   the last check would reject whatever the item, as too few answer words of any item are around, is
+   left out before;
 4. a window that is close enough must hold the item itself, in order, perhaps with words changed, left out or
    added: longest common subsequence of at least ``SHARE`` of the item's words around the window, and
    ``ANSWER_SHARE`` of its answer, the ``ANSWER`` words of greatest inverse document frequency.
@@ -22,6 +24,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,11 +37,11 @@ from corpusloom.llm.vocabulary import HashSet
 
 HALF = 16
 RANK, OVERSAMPLING = 96, 8
-COSINE = 0.45
+COSINE = 0.2
 SHARE, ANSWER, ANSWER_SHARE = 0.6, 5, 0.6
 SHORT = 8
-#: Terms in more than this share of the blocks have weight 0.
-STOP_SHARE = 0.05
+#: Terms in more than this share of the blocks have weight 0, unless they are part of an item's answer.
+STOP_SHARE = 0.005
 #: Items that are worked on at once; a larger benchmark takes several rounds.
 ITEMS = 20_000
 
@@ -53,18 +57,22 @@ class Benchmark:
         self.items = [np.searchsorted(self.terms, s) for s in sequences]
 
     def weigh(self, df: np.ndarray, blocks: int) -> None:
-        self.idf = np.log((blocks + 1) / (df + 1)).astype(np.float32)
-        self.idf[df > STOP_SHARE * blocks] = 0
-        self.answers = []
-        self.masks = []
+        raw = np.log((blocks + 1) / (df + 1)).astype(np.float32)
+        self.answers, self.masks = [], []
+        self.is_answer = np.zeros(len(self.terms), np.bool_)
         for item in self.items:
             unique = np.unique(item)
-            best = unique[np.lexsort((unique, -np.log((blocks + 1) / (df[unique] + 1))))]
-            self.answers.append({int(t) for t in best[:ANSWER]})
+            best = unique[np.lexsort((unique, -raw[unique]))][:ANSWER]
+            self.is_answer[best] = True
+            self.answers.append(set(best.tolist()))
             mask: dict[int, int] = {}
             for place, term in enumerate(item.tolist()):
                 mask[term] = mask.get(term, 0) | 1 << place
             self.masks.append(mask)
+        self.idf = np.where((df <= STOP_SHARE * blocks) | self.is_answer, np.maximum(raw, 1e-3), 0).astype(np.float32)
+        #: Answer words that any match has, and how many blocks around one they lie at most.
+        self.needed = min((math.ceil(ANSWER_SHARE * len(a)) for a in self.answers), default=1)
+        self.around = -(-max(map(len, self.items), default=0) // HALF) + 3
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, terms) of the words of ``hashes`` that are terms."""
@@ -222,20 +230,29 @@ def _matches(hits: DataFrame, shared, cosine: float, share: float, item_type: st
         for batch in batches:
             best: dict[tuple[int, int], tuple] = {}
             for rows, first, term, places in _unpacked(batch):
-                block, sums, _, _ = _matrix(bench, first, term, places, bench.embedded)
+                number = _blocks(first, places)
+                bases = (number - places // HALF)[np.minimum(first[:-1], max(len(places) - 1, 0))]
+                found_at = number[bench.is_answer[term]]
+                many = np.searchsorted(found_at, found_at + bench.around, "right") - np.searchsorted(found_at, found_at - bench.around)
+                block = np.unique(found_at[many >= bench.needed])
                 if not len(block):
                     continue
-                # windows: each block with the next one, and alone where only the next is there
-                nextto = np.zeros(len(block), np.bool_)
-                nextto[:-1] = np.diff(block) == 1
-                pairs = sums.copy()
-                pairs[:-1][nextto[:-1]] += sums[1:][nextto[:-1]]
-                alone = nextto & ~np.concatenate([[False], nextto[:-1]])
-                windows = np.concatenate([pairs, sums[alone]])
-                start = np.concatenate([block, block[alone]])
+                # windows: each such block with the one before and the one after it
+                owner = bases[np.searchsorted(bases, block, "right") - 1]
+                start = np.unique(np.concatenate([block, np.maximum(block - 1, owner)]))
+                wanted = np.unique(np.concatenate([start, start + 1]))
+                near_by = wanted[np.minimum(np.searchsorted(wanted, number), len(wanted) - 1)] == number
+                live = near_by & (bench.idf[term] > 0)
+                own_block = number[live]
+                starts = np.flatnonzero(np.diff(own_block, prepend=-1))
+                blocks, sums = own_block[starts], np.add.reduceat(bench.embedded[term[live]], starts, axis=0)
+
+                def part(wanted, blocks=blocks, sums=sums):
+                    at = np.minimum(np.searchsorted(blocks, wanted), len(blocks) - 1)
+                    return sums[at] * (blocks[at] == wanted)[:, None]
+
+                windows = part(start) + part(start + 1)
                 windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
-                number = _blocks(first, places)
-                bases = (number - places // HALF)[np.minimum(first[:-1], max(len(places) - 1, 0))]
                 for at in range(0, len(windows), 20_000):
                     near = windows[at : at + 20_000] @ bench.pieces.T
                     for i, piece in zip(*np.nonzero(near >= cosine), strict=True):
@@ -247,13 +264,13 @@ def _matches(hits: DataFrame, shared, cosine: float, share: float, item_type: st
                         own = places[first[doc] : first[doc + 1]]
                         lo, hi = first[doc] + np.searchsorted(own, (place - reach, place + 2 * HALF + reach))
                         around = term[lo:hi].tolist()
+                        answer = len(bench.answers[item].intersection(around)) / len(bench.answers[item])
+                        if answer < ANSWER_SHARE:
+                            continue
                         n = subsequence(bench.masks[item], len(words), around)
                         needed = share if len(words) >= SHORT else 1.0
                         if n < needed * len(words):
                             continue
-                        answer = len(bench.answers[item].intersection(around)) / len(bench.answers[item])
-                        if answer < ANSWER_SHARE:
-                            continue
                         found = (n / len(words), -place, answer, float(near[i, piece]))
                         slot = (int(rows[doc]), item)
                         if slot not in best or found[:2] > best[slot][:2]:
