@@ -27,12 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import text
+from corpusloom.llm import common, text
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose words are replayed together, and words that are remembered within a task.
-STRETCH, REMEMBERED = 16 << 20, 1_000_000
+STRETCH, REMEMBERED = 12 << 20, 300_000
+#: Bytes of text whose tokens are put out and decoded together.
+PIECE = 1 << 20
 
 
 class Vocabulary:
@@ -179,8 +181,8 @@ class Encoder:
         self.tokens = np.empty(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, offsets) of the documents."""
+    def words(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the words of each document; words that are new are replayed."""
         if len(self.numbers) > REMEMBERED:
             self.forget()
         known, number = len(self.numbers), self.numbers.__getitem__
@@ -190,37 +192,47 @@ class Encoder:
             tokens, offsets = replay(new, self.vocabulary)
             self.offsets = np.concatenate([self.offsets, offsets[1:] + len(self.tokens)])
             self.tokens = np.concatenate([self.tokens, tokens])
+        return words
+
+    def join(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, offsets) of documents given by their words."""
         flat = np.concatenate(words) if words else np.empty(0, np.int32)
         starts = self.offsets[flat]
         sizes = self.offsets[flat + 1] - starts
         total = np.concatenate([[0], np.cumsum(sizes)])
         return self.tokens[ragged(starts, sizes)], total[np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)]
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, offsets) of the documents."""
+        return self.join(self.words(texts))
+
+
+def _same(vocabulary: Vocabulary, tokens: np.ndarray, offsets: np.ndarray, piece: text.Chunk) -> np.ndarray:
+    """Whether the tokens of each document decode to its bytes."""
+    decoded = vocabulary.decode(tokens)
+    ends = np.concatenate([[0], np.cumsum(vocabulary.size[tokens])])[offsets]
+    if np.array_equal(ends, piece.offsets) and np.array_equal(decoded, piece.data):
+        return np.ones(piece.n, np.bool_)
+    return np.array([np.array_equal(decoded[ends[i] : ends[i + 1]], piece.data[piece.offsets[i] : piece.offsets[i + 1]]) for i in range(piece.n)], np.bool_)
+
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip) of each row of ``docs``."""
+    common.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary, pattern))
 
     def run(batches):
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in text.gathered(batches, "text", STRETCH):
             column = batch.column("text")
-            for chunk in text.chunks(column, STRETCH):
-                own = column.slice(chunk.rows.start, chunk.n)
-                tokens, offsets = encoder.encode([t or "" for t in own.to_pylist()])
-                decoded = encoder.vocabulary.decode(tokens)
-                same = np.array_equal(decoded, chunk.data)
-                ends = np.concatenate([[0], np.cumsum(encoder.vocabulary.size[tokens])])[offsets]
-                fits = np.ones(chunk.n, np.bool_) if same and np.array_equal(ends, chunk.offsets) else np.array([np.array_equal(decoded[ends[i] : ends[i + 1]], chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]]) for i in range(chunk.n)], np.bool_)
-                # batches of about a million tokens
-                at = 0
-                while at < chunk.n:
-                    to = min(chunk.n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + 1_000_000, "right")) - 1))
-                    cut = offsets[at : to + 1]
-                    lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(tokens[cut[0] : cut[-1]]), mask=own.slice(at, to - at).is_null())
-                    rows = slice(chunk.rows.start + at, chunk.rows.start + to)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(rows.start, to - at), pa.array(np.diff(cut)), lists, pa.array(fits[at:to])], names=["doc_id", "n_tokens", "tokens", "round_trip"])
-                    at = to
+            for chunk in text.chunks(column, 2 * STRETCH):
+                words = encoder.words([t or "" for t in column.slice(chunk.rows.start, chunk.n).to_pylist()])
+                for piece in text.chunks(column.slice(chunk.rows.start, chunk.n), PIECE):
+                    tokens, offsets = encoder.join(words[piece.rows])
+                    at = chunk.rows.start + piece.rows.start
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens), mask=column.slice(at, piece.n).is_null())
+                    same = _same(encoder.vocabulary, tokens, offsets, piece)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, piece.n), pa.array(np.diff(offsets)), lists, pa.array(same)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, tokens array<int>, round_trip boolean")

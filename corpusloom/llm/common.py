@@ -18,6 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the setting is missing (tests, local runs) a temporary folder is made and set.
     """
+    prepare(spark)
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
@@ -26,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def prepare(spark: SparkSession) -> None:
+    """Arrow batches of documents, not of numbers: fewer rows each, if the session has the default number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"

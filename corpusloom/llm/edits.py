@@ -31,7 +31,7 @@ BANDS = 48
 #: Steps of the walk that the samples of a band are taken from.
 WIDTH = 24
 PERIOD = 4096
-STRETCH = 32 << 20
+STRETCH = 24 << 20
 _END = 0xFF  # no byte of UTF-8
 
 
@@ -108,9 +108,9 @@ def sketches(docs: DataFrame, per_band: int, bands: int = BANDS) -> DataFrame:
     """(node, kind, sketch): samples of each different text in its two classes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in text.gathered(batches, "text", STRETCH):
             keys = batch.column("node").to_numpy()
-            for chunk in text.chunks(batch.column("text"), STRETCH):
+            for chunk in text.chunks(batch.column("text"), 2 * STRETCH):
                 own_keys = keys[chunk.rows]
                 for kind, (own, sketch) in walk(chunk, own_keys, bands, per_band).items():
                     yield pa.RecordBatch.from_arrays([pa.array(own_keys[own]), pa.array(np.full(len(own), kind, np.int32)), pa.array([row.tobytes() for row in sketch], pa.binary())], names=["node", "kind", "sketch"])
@@ -263,6 +263,7 @@ def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS) -> Da
 
     ``fingerprint`` is a hash of all samples of the embedding in the text's lower class.
     """
+    common.prepare(docs.sparkSession)
     node = F.when(F.length("text") > 0, F.xxhash64("text"))
     source = docs.select("doc_id", "text", node.alias("node"))
     per_band = samples_per_band(source.count())

@@ -114,6 +114,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier | None:
 
 def identify(docs: DataFrame, training: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, lang, predicted, score, margin) of each row of ``docs``; trained on ``training`` or ``docs``."""
+    common.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs if training is None else training, sample))
 
     def run(batches):

@@ -84,7 +84,7 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
                 codes |= np.repeat(langs[chunk.rows] << shift, np.diff(first))
                 parts.append(_tally(codes))
                 held += len(parts[-1][0])
-                if held > 4_000_000:
+                if held > 1_500_000:
                     parts = [merged()]
                     held = len(parts[0][0]) // 2
         if parts:

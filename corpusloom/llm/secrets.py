@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import text
+from corpusloom.llm import common, text
 
 LEAST = 4
 SECRET = 8.0
@@ -241,6 +241,7 @@ def credential_values(docs: DataFrame, secret: float = SECRET) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "start", "length", "context", "guesses_log10", "spans", "digest", "is_secret"])
 
+    common.prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, start long, length long, context string, guesses_log10 double, spans string, digest string, is_secret boolean")
 
@@ -248,6 +249,8 @@ def credential_values(docs: DataFrame, secret: float = SECRET) -> DataFrame:
 def redact(docs: DataFrame, secret: float = SECRET) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; same columns and rows."""
 
+    common.prepare(docs.sparkSession)
+
     @F.pandas_udf("string")
     def cleaned(texts):
         column = pa.Array.from_pandas(texts, type=pa.large_string())

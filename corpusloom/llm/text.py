@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer document forms a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 IS_WORD = np.zeros(256, np.bool_)
 IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True
@@ -122,6 +122,20 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Join neighbouring batches until their text has about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    have = 0
+    for batch in batches:
+        held.append(batch)
+        have += batch.column(column).nbytes
+        if have >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, have = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """Bytes with ASCII and Latin-1 letters in lower case."""
     out = LOWER[data]
