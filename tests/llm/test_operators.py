@@ -1,0 +1,450 @@
+"""Operators against brute force, exact round trips and held-out accuracy on small inputs."""
+
+import base64
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from corpusloom.llm import bpe, decontamination, edits, graph, html, language, quality, queries, secrets, simhash, substrings, text, toxicity
+from corpusloom.llm.common import table
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+@pytest.fixture(scope="module")
+def labels(spark, sf_dir):
+    return table(spark, sf_dir, "labels")
+
+
+def texts_of(documents):
+    return {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
+
+
+# text kit
+
+
+def test_words_and_windows():
+    w = text.words_of("Hello, ÉCOLE école HELLO".encode())
+    assert w.hash[0] == w.hash[3] and w.hash[1] == w.hash[2] and len(w.hash) == 4
+    column = pa.array(["ab cd", None, "", "cd", "xy" * 10])
+    chunk = next(text.chunks(column))
+    own = text.words(chunk)
+    assert own.first.tolist() == [0, 2, 2, 2, 3, 4] and own.hash[1] == own.hash[2]
+    hashes = np.arange(20, dtype=np.uint64)
+    assert text.windows(np.concatenate([hashes, hashes]), 5)[3] == text.windows(np.concatenate([hashes, hashes]), 5)[23]
+
+
+# 1
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    def brute(value):
+        known = {(i, j): c for i, j, _, c in sorted(secrets.spans(value), key=lambda s: -s[3])}
+        each = secrets.guess_cost("\x7f" * 0 + value)[0]
+        classes = 10 * any(c.isdecimal() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)
+        unit = math.log10(max(classes, 10))
+        best = math.inf
+        for cuts in itertools.product([0, 1], repeat=len(value) - 1):
+            ends = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(value)]
+            best = min(best, sum(min(known.get(p, math.inf), (p[1] - p[0]) * unit) for p in itertools.pairwise(ends)))
+        return best, each
+
+    for value in ("love2024", "qwerty!", "xK9mP2", "dragon99", "abcd7", "p4ssword", "Zz-1999"):
+        if not secrets._REPEAT.search(value) or len(max(secrets._REPEAT.findall(value), key=len)) < 2:
+            best, got = brute(value)
+            assert got <= best + 1e-9 and got >= best - 1.5, value
+    assert secrets.guess_cost("9233a8ecf7c5b09fe5949719b6b82bc439e9329b")[0] > 30
+    assert secrets.guess_cost("password123")[0] < 3
+    assert secrets.guess_cost("abcabcabcabc")[0] < 3
+    assert secrets.guess_cost("qwertyuiop")[1] == [(0, 10, "keyboard")]
+    assert secrets.guess_cost("12/04/1998")[1] == [(0, 10, "date")]
+
+
+def test_secrets_of_the_corpus(documents):
+    found = {(r.doc_id, r.start, r.length) for r in secrets.credential_values(documents).collect() if r.is_secret}
+    expected = {(i, m.start(1), len(m[1])) for i, t in texts_of(documents).items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    assert expected and expected <= found
+    assert not secrets.redact(documents).filter(F.col("text").rlike('(?i)token = "[0-9a-f]{40}"')).count()
+
+
+# 2
+
+
+def test_components(spark):
+    random.seed(4)
+    edges = [(random.randrange(400), random.randrange(400)) for _ in range(250)] + [(i + 1000, i + 1001) for i in range(60)] + [(5, 5)]
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_recursion_reaches_its_recall():
+    rng = np.random.default_rng(1)
+    plan = simhash.Plan(6_000, size=150, shuffled=700)
+    assert plan.levels >= 2
+    base = rng.integers(0, 2, (3_000, 256))
+    flipped = base.copy()
+    for row in flipped:
+        row[rng.choice(256, simhash.RADIUS, replace=False)] ^= 1
+    signs = np.concatenate([base, flipped]).astype(np.float32) * 2 - 1
+    met = np.zeros(3_000, bool)
+    for _, rows in plan.lists(signs, np.arange(6_000), 0, plan.levels, ()):
+        low = rows[rows < 3_000]
+        met[np.intersect1d(low, rows[rows >= 3_000] - 3_000)] = True
+    assert met.mean() > 0.88
+
+
+def test_near_duplicates_against_all_pairs(documents):
+    prints = simhash.fingerprints(documents).toPandas()
+    signs = simhash._signs(prints[simhash._WORDS].to_numpy())
+    rows, least = simhash.forest(signs, simhash.RADIUS)
+    group = {r.doc_id: r.group_id for r in simhash.near_duplicates(documents).collect()}
+    ids = prints.doc_id.to_numpy()
+    assert len(rows)
+    assert np.mean([group[ids[a]] == group[ids[b]] for a, b in zip(rows, least, strict=True)]) >= 0.9
+    kept = simhash.near_duplicate_filter(documents)
+    assert kept.count() == len(set(group.values())) + documents.count() - len(group)
+
+
+# 3
+
+
+def brute_repeats(texts, least=50):
+    seen, out = {}, {}
+    for i in sorted(texts):
+        hashes = text.words_of((texts[i] or "").encode()).hash
+        windows = text.windows(hashes, least).tolist()
+        covered = np.zeros(len(hashes), bool)
+        for j, x in enumerate(windows):
+            if seen.get(x, i) != i:
+                covered[j : j + least] = True
+        for x in windows:
+            seen.setdefault(x, i)
+        if covered.any():
+            out[i] = covered
+    return out
+
+
+def test_repeated_passages_against_all_windows(documents):
+    expected = brute_repeats(texts_of(documents))
+    hit = total = 0
+    got = {r.doc_id: r for r in substrings.repeated_passages(documents).collect()}
+    assert set(got) <= set(expected)
+    for i, covered in expected.items():
+        mine = np.zeros(len(covered), bool)
+        for s in got[i].spans if i in got else ():
+            mine[s.start : s.end] = True
+        assert not (mine & ~covered).any()
+        hit, total = hit + (mine & covered).sum(), total + covered.sum()
+    assert total and hit >= 0.95 * total
+
+
+def test_index_finds_passages_of_earlier_batches(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    filler = lambda n: " ".join(f"f{n}x{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, filler(i) + " " + (passage if i in (1, 4, 6) else "") + " " + filler(i + 100)) for i in range(8)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in substrings.repeated_passages(docs, batches=4).collect()}
+    assert set(rows) == {4, 6} and all(r.sources == [1] and [(s.start, s.end) for s in r.spans] == [(80, 140)] for r in rows.values())
+
+
+# 4
+
+
+def brute_distance(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(line[j] + (x != y), line[j + 1] + 1, new[j] + 1))
+        line = new
+    return line[-1]
+
+
+def test_edit_distance():
+    random.seed(5)
+    for _ in range(200):
+        a, b = (bytes(random.choice(b"abc") for _ in range(random.randrange(25))) for _ in range(2))
+        assert edits.edit_distance(a, b) == brute_distance(a, b)
+
+
+def test_edit_groups_against_all_pairs(spark):
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randrange(2, 9)))
+    docs, pairs = [], []
+    for i in range(60):
+        words = [word() for _ in range(random.randrange(60, 200))]
+        docs.append((2 * i, " ".join(words)))
+        for _ in range(max(1, len(words) // 50)):
+            words[random.randrange(len(words))] = word()
+        docs.append((2 * i + 1, " ".join(words)))
+    texts = dict(docs)
+    for a, b in itertools.combinations(texts, 2):
+        if abs(len(texts[a]) - len(texts[b])) <= 60 and edits.edit_distance(texts[a].encode(), texts[b].encode()) <= edits.NEAR * max(len(texts[a]), len(texts[b])):
+            pairs.append((a, b))
+    group = {r.doc_id: r.group_id for r in edits.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(pairs) >= 50 and np.mean([group[a] == group[b] for a, b in pairs]) >= 0.9
+    assert all(a // 2 == b // 2 for a, b in group.items())
+
+
+# 5
+
+
+def test_language_of_held_out_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    train = docs.filter("doc_id < 500")
+    rows = language.identify(docs.filter("doc_id >= 500"), train).collect()
+    assert np.mean([r.lang == r.predicted for r in rows if r.predicted]) > 0.97
+
+
+def test_kernel_by_sets():
+    texts = ["Hello world", "hello there", "", "zzz"]
+    chunk = next(text.chunks(pa.array(texts)))
+    got = language.presence(chunk) @ language.presence(chunk).T / 3
+    grams = lambda t, n: {t.lower()[i : i + n] for i in range(len(t) - n + 1)}
+    for i, j in itertools.product(range(4), repeat=2):
+        parts = [len(a & b) / math.sqrt(len(a) * len(b)) if a and b else 0 for a, b in ((grams(texts[i], n), grams(texts[j], n)) for n in (1, 2, 3))]
+        assert abs(got[i, j] - sum(parts) / 3) < 1e-5
+
+
+# 6
+
+
+def lcs(a, b):
+    line = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, line[j + 1] = line[j + 1], last + 1 if x == y else max(line[j + 1], line[j])
+    return line[-1]
+
+
+def test_subsequence():
+    random.seed(7)
+    for _ in range(100):
+        a, b = ([random.randrange(6) for _ in range(random.randrange(1, 30))] for _ in range(2))
+        mask = {}
+        for i, x in enumerate(a):
+            mask[x] = mask.get(x, 0) | 1 << i
+        assert decontamination.subsequence(mask, len(a), b) == lcs(a, b)
+
+
+def test_paraphrased_items_are_found_and_clean_documents_not(spark, documents, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    random.seed(8)
+    planted = []
+    for n, r in enumerate(items.collect()):
+        words = r.text.split()
+        if len(words) < 15:
+            continue
+        for _ in range(len(words) // 10):
+            del words[random.randrange(len(words))]
+        for _ in range(len(words) // 10):
+            words.insert(random.randrange(len(words)), f"extra{n}")
+        around = [f"clean{n}w{i}" for i in range(60)]
+        planted.append((10_000 + n, " ".join(around[:30] + words + around[30:]), r.item_id))
+    plain = documents.select("doc_id", "text")
+    docs = plain.union(spark.createDataFrame([p[:2] for p in planted], plain.schema))
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+    assert np.mean([(i, item) in found for i, _, item in planted]) >= 0.9
+    words = lambda t: re.findall(r"\w+", t.lower())
+    exact = {(i, r.item_id) for i, t in texts_of(documents).items() for r in items.collect() if " ".join(words(r.text)) in " ".join(words(t))}
+    assert len(exact & found) >= 0.9 * len(exact)
+    for doc, item in found - exact:
+        if doc < 10_000:
+            t, b = (words(x) for x in (texts_of(documents)[doc], items.filter(F.col("item_id") == item).first().text))
+            assert lcs(b, t) >= decontamination.SHARE * len(b)
+
+
+# 7
+
+
+def test_templates_go_and_content_stays(spark):
+    def page(n, nav="<nav><ul><li><a href='/a'>Home</a></li><li>Shop &amp; more</li></ul></nav>"):
+        return f"<html><head><title>t</title></head><body>{nav}<!-- {n} --><p>Text {n} of <b>this</b> page<br>ends<p>Second {n}<script>var t='</p>'</script><footer>Contact</footer></body></html>"
+
+    rows = [(n, f"http://www.example.org/{n}", page(n)) for n in range(6)] + [(10, "http://other.example/1", page(10)), (11, None, page(11)), (12, "/x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html.TEMPLATES, 0):
+        out = {r.page_id: r for r in html.extract(pages, broadcast=limit).collect()}
+        assert out[0].text == "Text 0 of this page\nends\nSecond 0" and out[0].removed == 2
+        assert out[10].text.startswith("Home\nShop & more") and out[11].text.endswith("Contact") and out[12].text == ""
+
+
+def test_subtrees_recurring_against_brute_force(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    counts, sizes, own = Counter(), Counter(), {}
+    for r in pages.select("url", "html").distinct().collect():
+        host = html.host_of(r.url)
+        sizes[host] += 1
+        counts.update(html.subtrees(html.parse(r.html), host))
+    for r in pages.collect():
+        host = html.host_of(r.url)
+        template = {k for k in html.subtrees(html.parse(r.html), host) if counts[k] >= max(html.PAGES, html.SHARE * sizes[host])}
+        own[r.page_id] = html.content(html.parse(r.html), host, template)
+    assert {r.page_id: (r.text, r.removed) for r in html.extract(pages).collect()} == own
+
+
+# 8
+
+
+@pytest.fixture(scope="module")
+def reference():
+    with open(bpe.VOCABULARY, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_tokens_equal_the_public_encoder(documents, reference):
+    encoded = bpe.encode(documents)
+    texts = texts_of(documents)
+    for r in encoded.collect():
+        assert r.tokens == reference.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.tokens) and r.round_trip
+    assert {r.doc_id: r.text for r in bpe.decode(encoded).collect()} == texts
+
+
+def test_odd_strings(reference):
+    random.seed(9)
+    odd = ["", "aaaaaaaaaaa", "  \n\n  x", "é́日本語🙂🙂", "<|endoftext|>", "abab" * 50, "it's I'LL 's", "\x00\x01"]
+    odd += ["".join(chr(random.choice([random.randrange(32, 127), random.randrange(160, 0x3000), 0x1F600])) for _ in range(80)) for _ in range(100)]
+    tokens, offsets = bpe.Encoder(bpe.Vocabulary()).encode(odd)
+    assert [tokens[offsets[i] : offsets[i + 1]].tolist() for i in range(len(odd))] == [reference.encode_ordinary(o) for o in odd]
+
+
+# 9
+
+
+def brute_segments(scores):
+    """The best segment (shortest, first), then those of the parts on both sides of it."""
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    best = max(((round(sums[j] - sums[i], 9), i - j, -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    i, j = best[3:]
+    return brute_segments(scores[:i]) + [(i, j)] + [(a + j, b + j) for a, b in brute_segments(scores[j:])]
+
+
+def test_maximal_segments():
+    random.seed(10)
+    for _ in range(150):
+        scores = [random.choice([-1.37, -0.61, -2.03, 1.11, 2.29, 0.57]) + random.random() * 1e-3 for _ in range(random.randrange(1, 25))]
+        after = np.cumsum(scores)
+        up = [i for i, s in enumerate(scores) if s > 0]
+        got = toxicity.maximal_segments([after[i] - scores[i] for i in up], [after[i] for i in up])
+        assert [(up[a], up[b] + 1) for a, b in got] == brute_segments(scores)
+
+
+def test_toxic_documents_are_found_and_clean_ones_left(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("bcdfgaeiou") for _ in range(6))
+    bad = ["vile", "scummy", "rotten"]
+    docs, marks = [], []
+    for i in range(900):
+        words = [word() for _ in range(80)]
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(5):
+                words[random.randrange(80)] = random.choice(bad)
+        docs.append((i, " ".join(words)))
+        if i % 2 == 0 or i % 3:
+            marks.append((i, int(toxic)))
+    out = toxicity.toxic_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    assert np.mean([r.is_toxic for r in out if r.doc_id % 6 == 0]) > 0.95
+    assert np.mean([r.is_toxic for r in out if r.doc_id % 6]) < 0.01
+    assert all(p.end > p.start for r in out for p in r.passages)
+
+
+# 10
+
+
+def brute_kneser_ney(texts, order):
+    counts = {order: Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))}
+    for m in range(order - 1, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    discount = {}
+    for m, c in counts.items():
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        discount[m] = [max(0.1, min(k, k - (k + 1) * y * n[k + 1] / n[k] if y is not None and n[k] else 0.5 * k)) for k in (1, 2, 3)]
+    by_context = {m: defaultdict(list) for m in counts}
+    for m, c in counts.items():
+        for g, n in c.items():
+            by_context[m][g[:-1]].append(n)
+
+    def p(g):
+        m = len(g)
+        if not m:
+            return 1 / 256
+        cut = lambda n: min(discount[m][min(n, 3) - 1], 0.9 * n)
+        seen = by_context[m].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        left = sum(map(cut, seen)) / sum(seen)
+        n = counts[m].get(g, 0)
+        return (n - cut(n) if n else 0) / sum(seen) + left * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("rows", [quality.MODEL_ROWS, 0])
+def test_perplexity_by_hand(spark, rows):
+    trusted = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"]
+    other = ["the mat sat", "zzz qqq", "ab", "", None]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*trusted, *other])], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 3), 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    p = brute_kneser_ney([t.encode() for t in trusted], 3)
+    for r in quality.quality_scores(docs, labels, order=3, model_rows=rows).collect():
+        t = ([*trusted, *other][r.doc_id] or "").encode()
+        grams = [t[i : i + 3] for i in range(len(t) - 2)]
+        if not grams:
+            assert r.perplexity is None and r.keep
+        else:
+            assert math.isclose(r.perplexity, math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)), rel_tol=1e-4)
+
+
+def test_labelled_junk_goes_and_clean_documents_stay(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    rows = quality.quality_scores(docs, labels).join(labels, "doc_id").collect()
+    assert np.mean([r.keep for r in rows if r.quality == 1]) > 0.98
+    assert np.mean([r.keep for r in rows if r.quality == 0]) < 0.2
+
+
+# queries and pipeline
+
+
+def test_pipeline(spark, sf_dir, documents, labels):
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    bad = {r.doc_id for r in quality.quality_scores(documents, labels).collect() if not r.keep}
+    stays = documents.join(spark.createDataFrame([(i,) for i in bad] or [(-1,)], "doc_id long"), "doc_id", "left_anti")
+    group = simhash.near_duplicates(stays).filter("keep").select("doc_id").collect()
+    kept = stays.filter(F.col("doc_id").isin([r.doc_id for r in group]))
+    leaks = {r.doc_id for r in decontamination.contaminated(kept, table(spark, sf_dir, "benchmark")).collect()}
+    expected = {r.doc_id for r in kept.select("doc_id").collect()} - leaks
+    assert {r.doc_id for r in out} == expected and len(out) == len(expected)
+    assert all(r.round_trip for r in out)
+
+
+def test_queries_are_complete():
+    numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.queries())
+    assert numbers == list(range(1, 11))
+    assert set(queries.oracle_sql()) <= set(queries.queries())
