@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINK_TAG = r"(?i)<(?:a|area|link)\s[^>]*>"
-NOFOLLOW = r'(?i)\srel\s*=\s*["\']?nofollow["\'\s>]'
+NOFOLLOW = r"""(?i)\srel\s*=\s*(?:"nofollow"|'nofollow'|nofollow[\s>])"""
 HREF = r'(?i)\shref\s*=\s*"([^"]*)"'
 SRC = r'(?i)\ssrc\s*=\s*"([^"]*)"'
 ACTION = r'(?i)\saction\s*=\s*"([^"]*)"'
