@@ -97,7 +97,8 @@ def test_streaming_fold_equals_sequential_fold(spark, tmp_path):
 
 def test_streaming_windows(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     query = states.activity(stream).writeStream.outputMode("complete").format("memory").queryName("act").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     batch = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").count().count()

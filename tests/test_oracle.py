@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare, connect
 
-from corpusloom.plans import activity, texts, web  # noqa: F401
+from corpusloom.plans import activity, extras, texts, web  # noqa: F401
 from corpusloom.plans.registry import ORACLES, QUERIES
 
 
@@ -13,3 +13,16 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, con, name):
     assert compare(QUERIES[name](spark, sf_dir), con, ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_runs(spark, sf_dir, name):
+    rows = QUERIES[name](spark, sf_dir)
+    assert rows.columns and rows.count() >= 0
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
