@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import strings, terms, urls
-from corpusloom.operators import classify, dom, formats, frontier, links, state
+from corpusloom.operators import classify, dom, formats, frontier, links, state, store
 from corpusloom.sources import lines, warc
 from corpusloom.streaming import states
 
@@ -227,3 +227,19 @@ def test_robots_and_freshness(spark):
     u = spark.createDataFrame([("a.org", "/x/1"), ("a.org", "/x/ok/2"), ("b.org", "/x")], "origin string, path string")
     rules = spark.createDataFrame([("a.org", "/x", False), ("a.org", "/x/ok", True)], "origin string, pattern string, allow boolean")
     assert {r.path: r.allowed for r in frontier.robots_allow(u, rules).collect()} == {"/x/1": False, "/x/ok/2": True, "/x": True}
+
+
+def test_store(spark, tmp_path):
+    stored = "struct<kind:string,pointers:array<struct<path:string,offset:bigint>>>"
+    rows = spark.createDataFrame([("u", 1, ("warc", [("a.warc", 0), ("b.warc", 9)])), ("v", 1, ("warc", [("a.warc", 5)]))], f"url string, created_at int, stored {stored}")
+    newer = spark.createDataFrame([("u", 2, ("none", []))], rows.schema)
+    assert {(r.url, r.created_at) for r in store.put(rows, newer).collect()} == {("u", 2), ("v", 1)}
+    store.dump(rows, str(tmp_path))
+    assert {r.value for r in spark.read.text(str(tmp_path / "archives")).collect()} == {"a.warc", "b.warc"}
+    assert spark.read.json(str(tmp_path / "meta")).count() == 2
+    weights = spark.createDataFrame([("x", 0.5)], "term string, weight double")
+    store.save_classifier(weights, -1.5, str(tmp_path / "model"))
+    again, bias = store.load_classifier(spark, str(tmp_path / "model"))
+    assert bias == -1.5 and [tuple(r) for r in again.collect()] == [("x", 0.5)]
+    lists = spark.createDataFrame([("p", 1)], "pattern string, version int")
+    assert store.apply_patch(lists, spark.createDataFrame([("p", 2), ("q", 2)], lists.schema)).count() == 2
