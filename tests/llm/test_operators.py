@@ -72,7 +72,8 @@ def test_guess_cost_is_the_least_over_all_segmentations():
     assert secrets.guess_cost("12/04/1998")[1] == [(0, 10, "date")]
 
 
-def test_secrets_of_the_corpus(documents):
+def test_secrets_of_the_corpus(spark):
+    documents = table(spark, "/root/testdata/sf0.01", "documents")
     found = {(r.doc_id, r.start, r.length) for r in secrets.credential_values(documents).collect() if r.is_secret}
     expected = {(i, m.start(1), len(m[1])) for i, t in texts_of(documents).items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
     assert expected and expected <= found
