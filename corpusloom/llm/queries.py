@@ -44,7 +44,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Toxic documents with their significant passages."""
+    return toxicity.toxic_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).filter("is_toxic")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

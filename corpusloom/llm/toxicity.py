@@ -2,8 +2,8 @@
 
 Log-odds of a word are those of occurring in a toxic rather than a clean labelled document, with an
 informative Dirichlet prior: pseudo-counts in proportion to the word's document frequency in the whole
-corpus. Words whose log-odds differ from 0 by ``Z`` standard deviations score their log-odds, all others
-score ``-DRIFT``. Copies of one toxic text would make all its words look toxic, so a word only has a positive
+corpus. Words score ``-DRIFT`` and, if they differ from 0 by ``Z`` standard deviations, their log-odds.
+Languages and topics differ somewhat in toxicity, so words with log-odds between 0 and ``ODDS`` count as neutral. Copies of one toxic text would make all its words look toxic, so a word only has a positive
 score if its toxic occurrences have many contexts (pairs of neighbouring words): ``CONTEXTS`` of its toxic
 documents at least. The linear-time scan of Ruzzo and Tompa finds all maximal scoring segments of a document.
 Scores are calibrated as extreme values: lambda solves the Karlin-Altschul equation for the scores of clean
@@ -34,6 +34,7 @@ from corpusloom.llm.vocabulary import in_document
 
 PRIOR = 100.0
 Z = 4.0
+ODDS = 3.0
 LEAST = 5
 CONTEXTS = 0.25
 DRIFT = 1.0
@@ -87,7 +88,7 @@ def log_odds(counts: DataFrame, toxic: int, clean: int, total: int) -> DataFrame
     odds = F.log(t / (toxic + PRIOR - t + 1)) - F.log(c / (clean + PRIOR - c + 1))
     spread = F.sqrt(1 / t + 1 / c)
     scored = counts.filter(F.col("toxic") + F.col("clean") >= LEAST).select("word", odds.alias("odds"), (odds / spread).alias("z"), "toxic", F.expr(f"(clean + {PRIOR / max(total, 1)} * every) / {clean + PRIOR}").alias("clean_share"))
-    return scored.filter(F.abs("z") >= Z)
+    return scored.filter((F.abs("z") >= Z) & ((F.col("odds") < 0) | (F.col("odds") >= ODDS)))
 
 
 def varied(docs: DataFrame, candidates: pd.DataFrame) -> np.ndarray:
@@ -201,7 +202,7 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) ->
     if toxic and clean:
         model = log_odds(counts, toxic, clean, total).toPandas()
         model = model[(model.odds < 0) | varied(source, model)]
-    words, odds = model.word.to_numpy(np.int64), model.odds.to_numpy(np.float64)
+    words, odds = model.word.to_numpy(np.int64), model.odds.to_numpy(np.float64) - DRIFT
     tokens = counts.agg(F.sum("clean_tokens")).first()[0] or 0
     segments = common.written(_segments(source, words, odds), "segments")
     rate = 1.0
