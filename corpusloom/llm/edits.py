@@ -2,20 +2,25 @@
 
 A walk over a document's bytes writes the byte under its pointer at every step and then moves on or stays, by
 a random bit of the step and the byte that all documents share. Texts of small edit distance fall into step
-again after each edit, so their embeddings agree in most places (small Hamming distance). Places of the
-embedding are sampled for each class of lengths: ``BANDS`` bands of k samples, where k grows with the
-logarithm of the number of documents. Documents that agree in a band are candidates; each document's partner with most agreeing bands is verified by edit distance, and verified pairs make groups. Near means an edit distance of at most ``NEAR`` of the longer text's bytes.
+again after each edit, so their embeddings agree over long stretches (small Hamming distance). Bands sample
+k places of the embedding within ``WIDTH`` steps, where k grows with the logarithm of the number of documents.
+Bands lie at fixed steps that all documents share: a document uses every 2**level-th, with the level at which
+it has ``BANDS`` to twice as many, so documents of similar length have at least ``BANDS`` in common. Documents
+that agree in a band vote for its least member; each document's ``PARTNERS`` partners with most votes
+(``VOTES`` at least) are verified by edit distance, and verified pairs make groups. Near means an edit distance of at most
+``NEAR`` of the longer text's bytes.
 
 Defined results
     * one row for each row of ``docs``; repeated rows share a group; exact copies are always found
     * null and empty texts have a null fingerprint and group (an empty text is near no other)
     * ``group_id`` is the least doc_id of the group (null last), its own for a document without partners
-    * texts whose lengths differ by more than ``GROWTH`` can't be near (NEAR is smaller) and aren't compared
+    * texts too short for an edit within ``NEAR`` are near their exact copies only
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_left
 
 import numpy as np
@@ -26,10 +31,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common, graph, text
 
 NEAR = 0.05
-GROWTH = 1.25
 BANDS = 48
 #: Steps of the walk that the samples of a band are taken from.
 WIDTH = 24
+PARTNERS = 2
+#: Least votes of a partner that is verified.
+VOTES = 2
 PERIOD = 4096
 STRETCH = 24 << 20
 _END = 0xFF  # no byte of UTF-8
@@ -46,120 +53,91 @@ def _steps() -> np.ndarray:
     return moves
 
 
-def length_class(sizes: np.ndarray) -> np.ndarray:
-    """The lower of a document's two classes; lengths within ``GROWTH`` of each other share one."""
-    return np.floor(np.log(np.maximum(sizes, 1)) / math.log(GROWTH) - 0.5).astype(np.int64) + 1
-
-
-def places(kind: int, bands: int, per_band: int) -> np.ndarray:
-    """Sampled steps of a class, band by band: those of a band lie within ``WIDTH`` neighbouring steps.
-
-    Two walks agree over whole stretches between edits, so samples that are close agree together.
-    """
-    rng = np.random.default_rng([41, kind])
-    length = max(2, int(2 * GROWTH**kind))
-    width = min(WIDTH, length)
-    start = rng.integers(0, length - width + 1, bands)
-    within = np.array([np.sort(rng.choice(width, per_band, replace=width < per_band)) for _ in range(bands)])
-    return (start[:, None] + within).reshape(-1)
-
-
-def walk(chunk: text.Chunk, keys: np.ndarray, bands: int, per_band: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By class: (documents, their samples) for all documents of the chunk that aren't empty."""
-    sizes, count = np.diff(chunk.offsets), bands * per_band
+def walk(chunk: text.Chunk, per_band: int, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, hashes) of all bands that end within their document's walk of two steps a byte."""
+    sizes = np.diff(chunk.offsets)
     rows = np.flatnonzero(sizes)
+    steps = 2 * sizes[rows] - 1
+    rows, steps = rows[steps >= WIDTH], steps[steps >= WIDTH]
     if not len(rows):
-        return {}
-    low = length_class(sizes[rows])
-    order = np.argsort(-low, kind="stable")
-    rows, low = rows[order], low[order]
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    order = np.argsort(-steps, kind="stable")
+    rows, steps = rows[order], steps[order]
+    # levels fall with the lengths, so each has a range of documents
+    level = np.maximum(0, np.floor(np.log2((steps - WIDTH + 1) / bands))).astype(np.int64)
+    low, high = int(level[-1]), int(level[0])
+    ranges = {q: (int(np.searchsorted(-level, -q, "left")), int(np.searchsorted(-level, -q, "right"))) for q in range(low, high + 1)}
+    seen_at = {q: np.zeros((hi - lo, 2 * bands, per_band), np.uint8) for q, (lo, hi) in ranges.items()}
+    offsets = [0, *sorted(np.random.default_rng(43).choice(np.arange(1, WIDTH), per_band - 1, replace=False).tolist())]
     # every document is followed by an end mark, where its pointer stays
     buffer = np.full(len(chunk.data) + chunk.n, _END, np.uint8)
     buffer[np.arange(len(chunk.data)) + np.repeat(np.arange(chunk.n), sizes)] = chunk.data
     pointer = (chunk.offsets[:-1] + np.arange(chunk.n))[rows]
-    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    record: dict[int, list[tuple[int, int, int, int]]] = {}
-    for kind in np.unique(np.concatenate([low, low + 1])).tolist():
-        start, stop = np.searchsorted(-low, -kind, "left"), np.searchsorted(-low, -(kind - 1), "right")
-        out[kind] = rows[start:stop], np.empty((stop - start, count), np.uint8)
-        for column, step in enumerate(places(kind, bands, per_band).tolist()):
-            record.setdefault(step, []).append((kind, column, int(start), int(stop)))
-    moves = _steps()
-    # a document walks until the last step of its upper class
-    last = (2 * GROWTH ** (low + 1)).astype(np.int64) + 1
-    active = len(rows)
-    for step in range(int(last[0])):
-        while active and last[active - 1] <= step:
+    moves, active = _steps(), len(rows)
+    for step in range(int(steps[0])):
+        while active and steps[active - 1] <= step:
             active -= 1
         seen = buffer.take(pointer[:active])
-        for kind, column, start, stop in record.get(step, ()):
-            out[kind][1][:, column] = seen[start:stop]
+        least = int(level[active - 1])
+        for k, offset in enumerate(offsets):
+            band = step - offset
+            if band < 0 or band & ((1 << least) - 1):
+                continue
+            q = least
+            while q <= high and not band & ((1 << q) - 1):
+                lo, hi = ranges[q]
+                hi = min(hi, active)
+                if lo < hi and band >> q < 2 * bands:
+                    seen_at[q][: hi - lo, band >> q, k] = seen[lo:hi]
+                q += 1
         pointer[:active] += moves[step % PERIOD].take(seen)
-    for kind, (own, sketch) in out.items():
-        # beyond its end a document agrees with no other
-        ended = sketch == _END
-        if ended.any():
-            noise = text.mix(keys[own].view(np.uint64)[:, None] + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * kind)).astype(np.uint8)
-            sketch[ended] = noise[ended]
-    return out
-
-
-def sketches(docs: DataFrame, per_band: int, bands: int = BANDS) -> DataFrame:
-    """(node, kind, sketch): samples of each different text in its two classes."""
+    documents, hashes = [], []
+    for q, (lo, hi) in ranges.items():
+        value = np.zeros((hi - lo, 2 * bands), np.uint64)
+        for k in range(per_band):
+            value = text.mix(value + seen_at[q][:, :, k].astype(np.uint64) + np.uint64(1))
+        start = np.arange(2 * bands) << q
+        value = text.mix(value + (start.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        row, column = np.nonzero(start[None, :] + WIDTH <= steps[lo:hi, None])
+        documents.append(rows[lo:hi][row])
+        hashes.append(value[row, column])
+    return np.concatenate(documents), np.concatenate(hashes)
+
+
+def bands_of(docs: DataFrame, per_band: int, bands: int = BANDS) -> DataFrame:
+    """(band, node, whole): each text's bands, and a row with the hash of all of them as ``band`` and whole set."""
 
     def run(batches):
         for batch in text.gathered(batches, "text", STRETCH):
-            keys = batch.column("node").to_numpy()
+            nodes = batch.column("node").to_numpy()
             for chunk in text.chunks(batch.column("text"), 2 * STRETCH):
-                own_keys = keys[chunk.rows]
-                for kind, (own, sketch) in walk(chunk, own_keys, bands, per_band).items():
-                    yield pa.RecordBatch.from_arrays([pa.array(own_keys[own]), pa.array(np.full(len(own), kind, np.int32)), pa.array([row.tobytes() for row in sketch], pa.binary())], names=["node", "kind", "sketch"])
+                document, band = walk(chunk, per_band, bands)
+                own = nodes[chunk.rows]
+                whole = own.view(np.uint64).copy()
+                np.bitwise_xor.at(whole, document, band)
+                for at in range(0, len(band), 200_000):
+                    to = slice(at, at + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(band[to].view(np.int64)), pa.array(own[document[to]]), pa.array(np.zeros(len(band[to]), np.bool_))], names=["band", "node", "whole"])
+                # without bands (short texts) the text's own hash
+                known = np.zeros(chunk.n, np.bool_)
+                known[document] = True
+                whole = np.where(known, whole ^ own.view(np.uint64), own.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(own), pa.array(np.ones(chunk.n, np.bool_))], names=["band", "node", "whole"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, kind int, sketch binary")
+    return docs.select("node", "text").mapInArrow(run, "band long, node long, whole boolean")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    data, _ = text.string_buffers(column)
-    return data.reshape(len(column), -1)
+def votes(rows: DataFrame) -> DataFrame:
+    """(a, b, n, whole): in how many bands b is the least of those that agree with a; fingerprints as whole rows."""
+    least = F.min("node").over(Window.partitionBy("band", "whole"))
+    found = rows.withColumn("least", least).filter("whole or least <> node")
+    return found.groupBy(F.col("node").alias("a"), F.when(F.col("whole"), F.col("band")).otherwise(F.col("least")).alias("b"), "whole").agg(F.count("*").alias("n"))
 
 
-def candidates(table: DataFrame, per_band: int, bands: int = BANDS) -> DataFrame:
-    """(kind, a, b): neighbours, and each with the first, among the documents that agree in a band."""
-
-    def hashed(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sketch = _matrix(batch.column("sketch")).reshape(batch.num_rows, bands, per_band)
-            value = np.zeros((batch.num_rows, bands), np.uint64)
-            for k in range(per_band):
-                value = text.mix(value + sketch[:, :, k].astype(np.uint64) + np.uint64(1))
-            kinds = batch.column("kind").to_numpy().astype(np.uint64)
-            value = text.mix(value + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(1_000_003) + kinds[:, None])
-            nodes = np.repeat(batch.column("node").to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(value.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("kind").to_numpy(), bands)), pa.array(nodes)], names=["band", "kind", "node"])
-
-    rows = table.mapInArrow(hashed, "band long, kind int, node long")
-    own = Window.partitionBy("band").orderBy("node")
-    pairs = rows.select("kind", "node", F.lag("node").over(own).alias("last"), F.min("node").over(own).alias("first")).filter("last is not null and last <> node")
-    ends = F.explode(F.array_distinct(F.array("last", "first"))).alias("b")
-    return pairs.select("kind", F.col("node").alias("a"), ends).filter("a <> b").distinct()
-
-
-def best_partners(pairs: DataFrame, table: DataFrame, per_band: int, bands: int = BANDS) -> DataFrame:
-    """(a, b): for each document the partner before it with which most bands agree."""
-
-    def compare(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            same = (_matrix(batch.column("x")) == _matrix(batch.column("y"))).reshape(-1, bands, per_band)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same.all(2).sum(1))], names=["a", "b", "agree"])
-
-    ordered = pairs.select("kind", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    joined = ordered.join(table.select("kind", F.col("node").alias("a"), F.col("sketch").alias("x")), ["kind", "a"]).join(table.select("kind", F.col("node").alias("b"), F.col("sketch").alias("y")), ["kind", "b"])
-    scored = joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, agree long")
-    return scored.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+def best_partners(table: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """(a, b): the partners of each document with most votes, ``VOTES`` at least; ties by the least."""
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
+    return table.filter(F.expr("not whole") & (F.col("n") >= VOTES)).withColumn("rank", rank).filter(F.col("rank") <= partners).select("a", "b")
 
 
 def edit_distance(a: bytes, b: bytes) -> int:
@@ -245,8 +223,18 @@ def near(a: bytes, b: bytes, share: float = NEAR) -> bool:
     return edit_distance(a, b) <= limit
 
 
-def verified(pairs: DataFrame, texts: DataFrame, share: float = NEAR) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose texts (node, text) are near."""
+def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose texts, of ``docs`` (node, text), are near.
+
+    Texts are bucketed by node once; of the two joins only the pairs and the first texts are shuffled.
+    """
+    spark = pairs.sparkSession
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("_node")
+    own = docs.join(common.small(wanted), F.col("node") == F.col("_node"), "left_semi").select("node", "text")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"corpusloom_texts_{uuid.uuid4().hex}", common.scratch(spark, "texts")
+    own.repartition(buckets, "node").dropDuplicates(["node"]).write.bucketBy(buckets, "node").sortBy("node").option("path", path).format("parquet").saveAsTable(name)
+    texts = spark.table(name)
 
     def check(batches):
         for batch in batches:
@@ -255,25 +243,25 @@ def verified(pairs: DataFrame, texts: DataFrame, share: float = NEAR) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    found = common.written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near")
+    spark.sql(f"drop table if exists {name}")
+    common.drop_path(spark, path)
+    return found
 
 
 def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS) -> DataFrame:
     """(doc_id, fingerprint, group_id, group_size) of each row of ``docs`` (doc_id, text).
 
-    ``fingerprint`` is a hash of all samples of the embedding in the text's lower class.
+    ``fingerprint`` is a hash of all samples of the embedding.
     """
     common.prepare(docs.sparkSession)
     node = F.when(F.length("text") > 0, F.xxhash64("text"))
     source = docs.select("doc_id", "text", node.alias("node"))
     per_band = samples_per_band(source.count())
-    table = common.written(sketches(source.filter("node is not null"), per_band, bands).dropDuplicates(["node", "kind"]), "sketches")
-    pairs = common.written(candidates(table, per_band, bands), "candidates")
-    best = common.written(best_partners(pairs, table, per_band, bands), "best")
-    wanted = best.select("a").union(best.select("b")).distinct().toDF("_node")
-    texts = source.join(common.small(wanted), F.col("node") == F.col("_node"), "left_semi").select("node", "text").dropDuplicates(["node"])
-    roots = graph.components(verified(best, common.written(texts, "texts"), share))
-    prints = table.groupBy("node").agg(F.min_by(F.xxhash64("sketch"), "kind").alias("fingerprint"))
+    table = common.written(votes(bands_of(source.filter("node is not null"), per_band, bands)), "votes")
+    best = common.written(best_partners(table), "best")
+    roots = graph.components(verified(best, source.filter("node is not null").select("node", "text"), share))
+    prints = table.filter("whole").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("fingerprint"))
     rows = source.select("doc_id", "node").join(prints, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return rows.join(groups, "root", "left").select("doc_id", "fingerprint", "group_id", "group_size")
