@@ -38,6 +38,8 @@ COMMON = 0.01
 RECALL = 0.92
 #: Lists of about this length are compared all with all, and lists of about ``SHUFFLED`` are what is shuffled.
 LIST, SHUFFLED = 1_024, 20_000
+#: Longer lists (large groups of copies) are linked through leaders.
+EXACT = 4_096
 CENTRES = 80
 
 _LANES = np.zeros(256, np.uint64)
@@ -168,9 +170,36 @@ def _joint(strip: int, weight: int, share: float) -> float:
     return total
 
 
+def led(signs: np.ndarray, radius: int, block: int = 1_024) -> tuple[np.ndarray, np.ndarray]:
+    """Edges under Hamming distance ``radius`` of each row with its leaders, rows that are near no earlier leader.
+
+    Takes as many comparisons as rows times leaders, so a large group of copies of a text isn't compared all
+    with all. Rows of a group stay linked as all near leaders of a row are.
+    """
+    least = BITS - 2 * radius
+    leaders = np.empty(0, np.int64)
+    rows, others = [], []
+    for at in range(0, len(signs), block):
+        own = np.arange(at, min(at + block, len(signs)))
+        near = signs[own] @ signs[leaders].T >= least
+        x, y = np.nonzero(near)
+        rows.append(own[x])
+        others.append(leaders[y])
+        free = own[~near.any(1)]
+        while len(free):
+            close = signs[free] @ signs[free[0]] >= least
+            rows.append(free[close][1:])
+            others.append(np.full(close.sum() - 1, free[0]))
+            leaders = np.append(leaders, free[0])
+            free = free[~close]
+    return np.concatenate(rows), np.concatenate(others)
+
+
 def forest(signs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (row, least row of its component) under Hamming distance ``radius``, by exact comparison."""
     n, least = len(signs), BITS - 2 * radius
+    if n > EXACT:
+        return led(signs, radius)
     label = np.arange(n)
     step = max(1, 4_000_000 // max(n, 1))
     while True:

@@ -116,6 +116,27 @@ def test_recursion_reaches_its_recall():
     assert met.mean() > 0.88
 
 
+def test_leaders_link_large_groups():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2, (40, 256))
+    member = rng.integers(0, 40, 5_000)
+    bits = base[member] ^ (rng.random((5_000, 256)) < 0.06)
+    signs = bits.astype(np.float32) * 2 - 1
+    rows, others = simhash.forest(signs, simhash.RADIUS)
+    assert len(signs) > simhash.EXACT and (member[rows] == member[others]).all()
+    parent = list(range(len(signs)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(rows.tolist(), others.tolist(), strict=True):
+        parent[root(a)] = root(b)
+    assert len({root(i) for i in range(len(signs))}) == 40
+
+
 def test_near_duplicates_against_all_pairs(documents):
     prints = simhash.fingerprints(documents).toPandas()
     signs = simhash._signs(prints[simhash._WORDS].to_numpy())
