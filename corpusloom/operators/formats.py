@@ -76,3 +76,18 @@ def language_by_stopwords(docs: DataFrame, stopwords: DataFrame) -> DataFrame:
     hits = terms.tokens(docs).join(F.broadcast(stopwords), "term").groupBy("doc_id", "lang").agg(F.count("*").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "lang"))
     return hits.withColumn("_rank", rank).filter("_rank = 1").select("doc_id", F.col("lang").alias("guess"), "hits")
+
+
+METHODS = {"HTML": "html raw", "JavaScript": "js raw", "PlainText": "plain raw", "StructuredPlainText": "plain raw", "JSON": "plain raw", "XML": "xml raw", "SVG": "svg xml", "RTF": "rtf raw", "OOXML": "ooxml", "ODF": "odf", "ZIP": "zip", "Unknown": "raw"}
+
+
+def extractors(rows: DataFrame) -> DataFrame:
+    """``rows`` (.., format) joined with the extraction methods that suit the format (a fixed table, broadcast)."""
+    table = [(f, m, i) for f, own in METHODS.items() for i, m in enumerate(own.split())]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, "format string, method string, priority int")), "format")
+
+
+def size_gate(size: Column, memory: int = 100 << 20, most: int | None = None) -> Column:
+    """Where a body goes: ``memory``, ``file`` or, beyond ``most`` bytes, ``skip``."""
+    skip = F.lit(False) if most is None else size > most
+    return F.when(skip, "skip").when(size > memory, "file").otherwise("memory")

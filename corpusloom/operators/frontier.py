@@ -105,3 +105,9 @@ def still_wanted(queue: DataFrame, states: DataFrame, max_age: int = 20) -> Data
 def page_after(rows: DataFrame, key: str, after: str | None, size: int = 10) -> DataFrame:
     """Keyset pagination: the next ``size`` rows by key."""
     return (rows if after is None else rows.filter(F.col(key) > after)).orderBy(key).limit(size)
+
+
+def due(urls_: DataFrame, access: DataFrame, now: Column, seconds: float, key: str = "origin") -> DataFrame:
+    """``urls_`` with ``due``: never accessed, or longer ago than the interval. ``access`` has key, last_access."""
+    age = now.cast("timestamp").cast("double") - F.col("last_access").cast("timestamp").cast("double")
+    return urls_.join(access.select(key, "last_access"), key, "left").withColumn("due", F.coalesce(age > seconds, F.lit(True)))

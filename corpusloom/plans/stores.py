@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
-from corpusloom.operators import frontier, links, store
+from corpusloom.operators import formats, frontier, links, store
 from corpusloom.plans.registry import query
 from corpusloom.plans.web import LINKS, sql_bare, sql_host, sql_origin
 
@@ -62,3 +62,24 @@ def model_choice(documents: DataFrame) -> DataFrame:
 @query("store_statistics", "pages events", f"with links as {LINKS} select (select count(distinct dst) from links) as frontier, (select count(*) from pages) as results, (select count(distinct user_id) from events) as states")
 def store_statistics(pages: DataFrame, events: DataFrame) -> DataFrame:
     return store.statistics(links.page_links(pages).select("dst").distinct(), pages, events.select("user_id").distinct())
+
+
+@query("recrawl_due", "pages events", "select page_id, coalesce(timestamp '2024-01-30 12:00:00' - m > interval 6 hour, true) as due from pages left join (select user_id, max(ts) as m from events group by 1) on page_id % 200 = user_id")
+def recrawl_due(pages: DataFrame, events: DataFrame) -> DataFrame:
+    access = events.groupBy(F.col("user_id").alias("origin")).agg(F.max("ts").alias("last_access"))
+    rows = pages.select("page_id", (F.col("page_id") % 200).alias("origin"))
+    return frontier.due(rows, access, F.lit("2024-01-30 12:00:00").cast("timestamp"), 6 * 3600.0).select("page_id", "due")
+
+
+@query("size_gates", "pages", "select page_id, case when octet_length(encode(html)) > 9000 then 'skip' when octet_length(encode(html)) > 3000 then 'file' else 'memory' end as place from pages")
+def size_gates(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", formats.size_gate(F.octet_length("html"), 3000, 9000).alias("place"))
+
+
+_METHODS = ", ".join(f"('{f}', '{m}', {i})" for f, own in formats.METHODS.items() for i, m in enumerate(own.split()))
+
+
+@query("extractor_plan", "pages", f"select page_id, method, priority from (select page_id, case when starts_with(html, '<') then 'HTML' else 'Unknown' end as format from pages) join (values {_METHODS}) m(format, method, priority) using (format)")
+def extractor_plan(pages: DataFrame) -> DataFrame:
+    rows = pages.select("page_id", F.when(F.col("html").startswith("<"), "HTML").otherwise("Unknown").alias("format"))
+    return formats.extractors(rows).select("page_id", "method", "priority")
