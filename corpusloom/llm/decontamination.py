@@ -230,8 +230,13 @@ def _matches(hits: DataFrame, shared, cosine: float, share: float, item_type: st
         for batch in batches:
             best: dict[tuple[int, int], tuple] = {}
             for rows, first, term, places in _unpacked(batch):
+                # documents without a term have no block
+                some = np.flatnonzero(np.diff(first))
+                rows, first = rows[some], np.append(first[some], first[-1])
+                if not len(some):
+                    continue
                 number = _blocks(first, places)
-                bases = (number - places // HALF)[np.minimum(first[:-1], max(len(places) - 1, 0))]
+                bases = (number - places // HALF)[first[:-1]]
                 found_at = number[bench.is_answer[term]]
                 many = np.searchsorted(found_at, found_at + bench.around, "right") - np.searchsorted(found_at, found_at - bench.around)
                 block = np.unique(found_at[many >= bench.needed])

@@ -271,6 +271,14 @@ def test_subsequence():
         assert decontamination.subsequence(mask, len(a), b) == lcs(a, b)
 
 
+def test_documents_without_terms_are_no_obstacle(spark):
+    item = "zebras never lie about striped umbrellas in spring rain showers"
+    rows = [(i, item if i % 3 == 1 else f"nothing{i} here{i}") for i in range(30)] + [(99, "last one has none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = decontamination.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {i for i in range(30) if i % 3 == 1}
+
+
 def test_paraphrased_items_are_found_and_clean_documents_not(spark, documents, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     random.seed(8)
