@@ -132,7 +132,7 @@ def _hits(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInArrow(find, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, words long, terms binary, gaps binary")
 
 
-def _unpacked(batch: pa.RecordBatch, most: int = 400_000):
+def _unpacked(batch: pa.RecordBatch, most: int = 100_000):
     """Yield (rows, first, terms, places) of runs of rows with about ``most`` hits."""
     terms, offsets = text.string_buffers(batch.column("terms"))
     gaps, _ = text.string_buffers(batch.column("gaps"))
