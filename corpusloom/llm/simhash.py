@@ -1,8 +1,9 @@
 """SimHash near duplicates (operator 2): 256-bit fingerprints searched by the May-Ozerov recursion.
 
-A document's fingerprint sums the hashed bits of its words; words that occur in more than ``COMMON`` of all
-documents don't count (unless it has no others). Two documents are near duplicates if their fingerprints
-differ in at most ``RADIUS`` bits; groups are the connected components.
+A document's fingerprint sums the hashed bits of its different pairs of neighbouring words (the first word
+has a pair with the document's start). No pair is left out or weighed by how many documents have it, so a
+fingerprint depends on its text alone and what a large group of copies shares counts in full. Two documents
+are near duplicates if their fingerprints differ in at most ``RADIUS`` bits; groups are the connected components.
 
 Search: the bits are dealt to disjoint random strips, one for each level. At a level, each of many random
 centres keeps the fingerprints whose weight against it on that strip is small; close fingerprints are often
@@ -25,16 +26,15 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common, graph, text
-from corpusloom.llm.vocabulary import HashSet, document_frequencies
 
 BITS = 256
 RADIUS = 52
-COMMON = 0.01
 RECALL = 0.92
 #: Lists of about this length are compared all with all, and lists of about ``SHUFFLED`` are what is shuffled.
 LIST, SHUFFLED = 1_024, 20_000
@@ -71,29 +71,26 @@ def fingerprints_of(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, common_share: float = COMMON) -> DataFrame:
+def features(w: text.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): each document's different pairs of neighbouring words; ``first`` bounds the documents."""
+    before = np.roll(w.hash, 1)
+    before[w.first[:-1][np.diff(w.first) > 0]] = 0
+    pair = text.mix(before * np.uint64(3) + text.mix(w.hash))
+    keep = ~pd.Series(text.mix(pair + np.uint64(0x9E3779B97F4A7C15) * w.doc.astype(np.uint64))).duplicated().to_numpy()
+    return pair[keep], np.concatenate([[0], np.cumsum(keep)])[w.first]
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
     """(key, doc_id, f0..f3): one row for each row of ``docs`` that has a word."""
+    common.prepare(docs.sparkSession)
     source = docs.select(common.row_key("doc_id", "text").alias("key"), "doc_id", "text")
-    spark = docs.sparkSession
-    frequencies = common.written(document_frequencies(source), "df")
-    n = source.count()
-    # at most (mean number of different words) / common_share rows, whatever the size of the table
-    frequent = frequencies.filter(F.col("df") > max(1.0, common_share * n)).select("word").toPandas().word.to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(HashSet(frequent.view(np.uint64)))
 
     def build(batches):
-        stop: HashSet = shared.value
         for batch in batches:
             prints, has = np.zeros((batch.num_rows, 4), np.uint64), np.zeros(batch.num_rows, np.bool_)
             for chunk in text.chunks(batch.column("text")):
                 w = text.words(chunk)
-                keep = ~stop.has(w.hash)
-                # a document of common words only is printed by those
-                bare = text.document_sums(keep, w.first) == 0
-                if bare.any():
-                    keep |= np.repeat(bare, np.diff(w.first))
-                kept = np.concatenate([[0], np.cumsum(keep)])[w.first]
-                prints[chunk.rows] = fingerprints_of(w.hash[keep], kept)
+                prints[chunk.rows] = fingerprints_of(*features(w))
                 has[chunk.rows] = np.diff(w.first) > 0
             rows = pa.array(np.flatnonzero(has))
             signed = prints[has].view(np.int64)
@@ -216,12 +213,12 @@ def forest(signs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, label[rows]
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, common_share: float = COMMON) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """(key, doc_id, rows, group_id, group_size, keep) for each different row of ``docs`` that has a word.
 
     ``group_id`` is the least doc_id of the group, ``group_size`` counts rows, ``keep`` marks the one that stays.
     """
-    prints = fingerprints(docs, common_share).withColumn("node", F.xxhash64(*_WORDS))
+    prints = fingerprints(docs).withColumn("node", F.xxhash64(*_WORDS))
     prints = common.written(prints.groupBy("key", "doc_id", "node", *_WORDS).agg(F.count("*").alias("rows")), "simhash")
     distinct = prints.groupBy("node").agg(*(F.first(c).alias(c) for c in _WORDS))
     plan = Plan(distinct.count(), radius, recall)

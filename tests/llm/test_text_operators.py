@@ -152,6 +152,21 @@ def test_near_duplicates_against_all_pairs(documents):
 # 3
 
 
+@pytest.mark.parametrize(("size", "group"), [(60, 12), (200, 3), (400, 160)])
+def test_near_copies_of_groups_above_any_share_of_the_table(spark, size, group):
+    rng = random.Random(size)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(3_000)]
+    base = rng.choices(words, k=150)
+    docs = []
+    for i in range(size):
+        own = list(base) if i < group else rng.choices(words, k=150)
+        for _ in range(3 if i < group else 0):
+            own[rng.randrange(150)] = f"edit{rng.randrange(10**6)}"
+        docs.append((i, " ".join(own)))
+    found = {r.doc_id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(found[i] == (0 if i < group else i) for i in range(size))
+
+
 def brute_repeats(texts, least=50):
     seen, out = {}, {}
     for i in sorted(texts):
