@@ -38,7 +38,7 @@ RADIUS = 52
 RECALL = 0.92
 #: Lists of about this length are compared all with all, and lists of about ``SHUFFLED`` are what is shuffled.
 LIST, SHUFFLED = 1_024, 20_000
-#: Longer lists (large groups of copies) are linked through leaders.
+#: Longer lists (large groups of copies) are linked through leaders first, with the same components.
 EXACT = 4_096
 CENTRES = 80
 
@@ -168,27 +168,75 @@ def _joint(strip: int, weight: int, share: float) -> float:
 
 
 def led(signs: np.ndarray, radius: int, block: int = 1_024) -> tuple[np.ndarray, np.ndarray]:
-    """Edges under Hamming distance ``radius`` of each row with its leaders, rows that are near no earlier leader.
+    """Edges under Hamming distance ``radius`` that give the same components as a comparison of all with all.
 
-    Takes as many comparisons as rows times leaders, so a large group of copies of a text isn't compared all
-    with all. Rows of a group stay linked as all near leaders of a row are.
+    Each row is first linked with its leaders, rows that are near no earlier leader; that takes as many
+    comparisons as rows times leaders, so a large group of copies of a text isn't compared all with all. Then
+    the rows of two leaders' clusters that aren't linked yet are compared wherever the triangle inequality lets
+    them be near: leaders at most ``radius`` and the clusters' own radii apart.
     """
-    least = BITS - 2 * radius
+    n, least = len(signs), BITS - 2 * radius
     leaders = np.empty(0, np.int64)
+    home, apart = np.zeros(n, np.int64), np.zeros(n, np.int64)
     rows, others = [], []
-    for at in range(0, len(signs), block):
-        own = np.arange(at, min(at + block, len(signs)))
-        near = signs[own] @ signs[leaders].T >= least
+    for at in range(0, n, block):
+        own = np.arange(at, min(at + block, n))
+        alike = signs[own] @ signs[leaders].T
+        near = alike >= least
         x, y = np.nonzero(near)
         rows.append(own[x])
         others.append(leaders[y])
+        if len(leaders):
+            home[own] = alike.argmax(1)
+            apart[own] = (BITS - alike.max(1)) / 2
         free = own[~near.any(1)]
         while len(free):
-            close = signs[free] @ signs[free[0]] >= least
+            alike = signs[free] @ signs[free[0]]
+            close = alike >= least
             rows.append(free[close][1:])
             others.append(np.full(close.sum() - 1, free[0]))
+            home[free[close]], apart[free[close]] = len(leaders), (BITS - alike[close]) / 2
             leaders = np.append(leaders, free[0])
             free = free[~close]
+    reach = np.zeros(len(leaders), np.int64)
+    np.maximum.at(reach, home, apart)
+    order = np.argsort(home, kind="stable")
+    first = np.searchsorted(home[order], np.arange(len(leaders) + 1))
+    # clusters that the links so far join
+    group = list(range(len(leaders)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    number = np.zeros(n, np.int64)
+    number[leaders] = np.arange(len(leaders))
+    linked = home[np.concatenate(rows)] * len(leaders) + number[np.concatenate(others)]
+    for i, j in zip(*divmod(np.unique(linked), len(leaders)), strict=True):
+        group[root(int(i))] = root(int(j))
+    heads = signs[leaders]
+    step = max(1, 4_000_000 // len(leaders))
+    for at in range(0, len(leaders), step):
+        gap = (BITS - heads[at : at + step] @ heads.T) / 2
+        able = gap <= radius + reach[at : at + step, None] + reach
+        roots = np.array([root(i) for i in range(len(leaders))])
+        able &= roots[at : at + step, None] < roots
+        for i, j in zip(*np.nonzero(able), strict=True):
+            i = int(i) + at
+            if root(i) == root(int(j)):
+                continue
+            one, two = order[first[i] : first[i + 1]], order[first[j] : first[j + 1]]
+            one = one[signs[one] @ heads[j] >= least - 2 * reach[j]]
+            two = two[signs[two] @ heads[i] >= least - 2 * reach[i]]
+            for k in range(0, len(one), size := max(1, 4_000_000 // max(len(two), 1))):
+                x, y = np.nonzero(signs[one[k : k + size]] @ signs[two].T >= least)
+                if len(x):
+                    rows.append(one[k + x[:1]])
+                    others.append(two[y[:1]])
+                    group[root(i)] = root(int(j))
+                    break
     return np.concatenate(rows), np.concatenate(others)
 
 

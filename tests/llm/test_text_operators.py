@@ -137,6 +137,35 @@ def test_leaders_link_large_groups():
     assert len({root(i) for i in range(len(signs))}) == 40
 
 
+def components_of(n, rows, others):
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, rows, label[others])
+        np.minimum.at(new, others, label[rows])
+        if (new == label).all():
+            return label
+        label = new[new]
+
+
+@pytest.mark.parametrize("step", [30, 40, 50])
+def test_leaders_give_exact_components_of_chains(step):
+    rng = np.random.default_rng(step)
+    bits = []
+    for _ in range(15):
+        row = rng.integers(0, 2, 256)
+        for _ in range(300):
+            row = row.copy()
+            row[rng.choice(256, step + int(rng.integers(0, 8)), replace=False)] ^= 1
+            bits.append(row)
+    signs = np.array(bits)[rng.permutation(len(bits))].astype(np.float32) * 2 - 1
+    near = signs @ signs.T >= simhash.BITS - 2 * simhash.RADIUS
+    expected = components_of(len(signs), *np.nonzero(near))
+    rows, others = simhash.forest(signs, simhash.RADIUS)
+    assert len(signs) > simhash.EXACT and near[rows, others].all()
+    assert (components_of(len(signs), rows, others) == expected).all()
+
+
 def test_near_duplicates_against_all_pairs(documents):
     prints = simhash.fingerprints(documents).toPandas()
     signs = simhash._signs(prints[simhash._WORDS].to_numpy())
