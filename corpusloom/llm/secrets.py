@@ -1,7 +1,9 @@
 """Secret scan (operator 1): guess cost of values in credential context.
 
 A value counts if it follows a credential word (password, token, api_key, ...) and ``=``, ``:``, ``=>`` or
-``:=``. Its cost is the least total, over all ways to cut it into spans, of the logarithm (base 10) of the
+``:=``; the word of an authentication scheme (Bearer, Basic, Token, Digest) before a value isn't part of it. What
+follows ``Bearer`` without a mark counts if it looks like a token and not like a word of prose: it has a digit,
+a capital after a small letter, or 20 characters at least. The value's cost is the least total, over all ways to cut it into spans, of the logarithm (base 10) of the
 guesses that each span takes: dictionary words (with capitals, character swaps or reversed), dates and
 years, repeats of a shorter unit, runs of neighbouring characters, walks over a keyboard, and brute-force
 spans over the character classes that the value has. Dynamic programming over the end of the last span; a
@@ -37,7 +39,8 @@ REPLACEMENT = "[REDACTED]"
 THIS_YEAR, YEARS = 2025, 20
 
 CONTEXT = re.compile(rb"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|authorization|auth|bearer|(?:api|access|private|secret|encryption|signing|auth|account|client)[ _.-]?(?:key|token|secret|id)|apikey)[\"'\])]{0,2}\s{0,3}$", re.I)
-VALUE = re.compile(rb"[:=]?[=>]?\s{0,3}(?:\"([^\"\r\n]{4,})\"|'([^'\r\n]{4,})'|`([^`\r\n]{4,})`|([^\s\"'`,;<>()\[\]{}]{4,}))")
+VALUE = re.compile(rb"[:=]?[=>]?\s{0,3}(?:(?i:bearer|basic|token|digest)\s{1,3}(?![a-z]+=[\"']))?(?:\"([^\"\r\n]{4,})\"|'([^'\r\n]{4,})'|`([^`\r\n]{4,})`|([^\s\"'`,;<>()\[\]{}]{4,}))")
+BEARER = re.compile(rb"(?<![^\W_])(?i:bearer)[ \t]{1,3}[\"'`]?(?=[a-z0-9._~+/-]*(?:[0-9]|[a-z][A-Z])|[A-Z0-9._~+/-]*[0-9]|[A-Za-z0-9._~+/-]{20})([A-Za-z0-9][A-Za-z0-9._~+/-]{3,}=*)")
 
 #: Common passwords and words of passwords, most frequent first.
 WORDS = """password 123456 qwerty admin welcome letmein login master secret dragon monkey football baseball abc123 iloveyou
@@ -197,16 +200,25 @@ def guess_cost(value: str, depth: int = 0) -> tuple[float, list[tuple[int, int,
 def _values(chunk: text.Chunk):
     """Yield (document, start, end, context) in bytes of each value in credential context."""
     data = chunk.data
-    marks = np.flatnonzero((data == 61) | (data == 58))
-    if not len(marks):
-        return
     raw = data.tobytes()
+    low, bearers = raw.lower(), []
+    at = low.find(b"bearer")
+    while at >= 0:
+        bearers.append(at)
+        at = low.find(b"bearer", at + 6)
+    marks = np.union1d(np.flatnonzero((data == 61) | (data == 58)), np.array(bearers, np.int64))
     docs = np.searchsorted(chunk.offsets, marks, "right") - 1
     after = 0
     for at, d in zip(marks.tolist(), docs.tolist(), strict=True):
         if at < after:
             continue
         lo, hi = int(chunk.offsets[d]), int(chunk.offsets[d + 1])
+        if raw[at] not in b":=":
+            found = BEARER.match(raw, at, hi)
+            if found:
+                yield d, found.start(1), found.end(1), "bearer"
+                after = found.end(1)
+            continue
         context = CONTEXT.search(raw, max(lo, at - 40), at)
         if not context:
             continue

@@ -80,6 +80,19 @@ def test_secrets_of_the_corpus(spark):
     assert not secrets.redact(documents).filter(F.col("text").rlike('(?i)token = "[0-9a-f]{40}"')).count()
 
 
+@pytest.mark.parametrize("line", ["Authorization: Bearer {}", "authorization: bearer {}", 'curl -H "Authorization: Bearer {}" x', "Authorization: Basic {}", "Authorization: Token {}", 'auth = Bearer "{}"', "X-Forwarded: Bearer {}", "sent as Bearer {} by mail", "bearer {}"])
+def test_values_after_a_scheme_word(spark, line):
+    value = "Zk3vQ9xT7mLw2RbN8sYd"
+    docs = spark.createDataFrame([(1, "See " + line.format(value) + "\nthe end")], "doc_id long, text string")
+    assert [(r.start, r.length, r.is_secret) for r in secrets.credential_values(docs).collect()] == [(4 + line.index("{"), len(value), True)]
+    assert secrets.redact(docs).first().text == "See " + line.format(secrets.REPLACEMENT) + "\nthe end"
+
+
+def test_prose_after_bearer_is_no_value(spark):
+    docs = spark.createDataFrame([(1, "The bearer should present this. Bearer bonds, bearer of news; BEARER CERTIFICATES. Forbearer acts2"), (2, 'Authorization: Digest username="someone", realm="x"')], "doc_id long, text string")
+    assert not [r for r in secrets.credential_values(docs).collect() if r.is_secret]
+
+
 # 2
 
 
