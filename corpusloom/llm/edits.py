@@ -168,6 +168,53 @@ def edit_distance(a: bytes, b: bytes) -> int:
     return score
 
 
+def within(a: bytes, b: bytes, limit: int) -> bool:
+    """Whether the Levenshtein distance is at most ``limit``, by bit-parallel columns of a diagonal band (Hyyrö)."""
+    if len(a) < len(b):
+        a, b = b, a
+    same = next((i for i in range(0, len(b), 64) if a[i : i + 64] != b[i : i + 64]), len(b))
+    while same < len(b) and a[same] == b[same]:
+        same += 1
+    a, b = a[same:], b[same:]
+    tail = next((i for i in range(0, len(b) - 63, 64) if a[len(a) - i - 64 : len(a) - i] != b[len(b) - i - 64 : len(b) - i]), len(b) // 64 * 64)
+    while tail < len(b) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if len(a) - len(b) > limit or a and not limit:
+        return False
+    if len(a) <= limit:
+        return True
+    if len(a) <= 2 * limit + 1:
+        return edit_distance(a, b) <= limit
+    masks: dict[int, int] = {}
+    codes = np.frombuffer(a, np.uint8)
+    for c in set(b):
+        masks[c] = int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little")
+    # the band has the rows of a from limit above the diagonal to limit below it
+    width = 2 * limit + 1
+    full, diagonal = (1 << width) - 1, 1 << width - 1
+    plus, minus, score = full & ~((1 << width - limit - 1) - 1), 0, limit
+    at, most = limit + 1 - width, 2 * limit + len(b) - len(a)
+    turn, horizontal = len(a) - limit, 1 << width - 2
+    for i, c in enumerate(b):
+        m = masks[c]
+        m = (m >> at if at >= 0 else m << -at) & full
+        zero = ((((m & plus) + plus) ^ plus) | m | minus) & full
+        up = (minus | ~(zero | plus)) & full
+        down = zero & plus
+        if i < turn:
+            score += not zero & diagonal
+            if score > most:
+                return False
+        else:
+            score += bool(up & horizontal) - bool(down & horizontal)
+            horizontal >>= 1
+        plus = (down | ~((zero >> 1) | up)) & full
+        minus = (zero >> 1) & up
+        at += 1
+    return score <= limit
+
+
 def _rising(values: list[int]) -> list[int]:
     """Indices of a longest rising subsequence."""
     ends: list[int] = []
@@ -192,14 +239,18 @@ def near(a: bytes, b: bytes, share: float = NEAR) -> bool:
     """Whether the edit distance is at most ``share`` of the longer text.
 
     Words that each text has once, in the same order, cut both into pieces; the sum of the pieces' distances
-    bounds the distance from above. The distance itself is taken where that bound is above the limit, but at
-    most twice as much.
+    bounds the distance from above. Where that bound is above the limit the distance itself decides; only a
+    lower bound, by the number of each byte, rejects without it.
     """
     limit = int(share * max(len(a), len(b)))
     if abs(len(a) - len(b)) > limit:
         return False
     if a == b:
         return True
+    counts = (np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in (a, b))
+    extra = np.subtract(*counts)
+    if max(extra[extra > 0].sum(), -extra[extra < 0].sum()) > limit:
+        return False
     x, y = text.words_of(a), text.words_of(b)
     hx, ix, nx = np.unique(x.hash, return_index=True, return_counts=True)
     hy, iy, ny = np.unique(y.hash, return_index=True, return_counts=True)
@@ -215,12 +266,10 @@ def near(a: bytes, b: bytes, share: float = NEAR) -> bool:
             one, two = a[at:u], b[to:v]
             if one != two:
                 bound += edit_distance(one, two) if min(len(one), len(two)) < 2_000 else max(len(one), len(two))
-                if bound > 2 * limit:
-                    return False
+                if bound > limit:
+                    return within(a, b, limit)
             at, to = u, v
-    if bound <= limit:
-        return True
-    return edit_distance(a, b) <= limit
+    return True
 
 
 def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR) -> DataFrame:

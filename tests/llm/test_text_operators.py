@@ -267,6 +267,30 @@ def test_edit_distance():
         assert edits.edit_distance(a, b) == brute_distance(a, b)
 
 
+def test_within_a_limit_against_all_distances():
+    rng = random.Random(15)
+    for _ in range(1_500):
+        a = bytes(rng.choice(b"abc") for _ in range(rng.randrange(300)))
+        b = bytearray(a) if rng.random() < 0.8 else bytearray(rng.choice(b"abc") for _ in range(rng.randrange(300)))
+        for _ in range(rng.randrange(25)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = bytes(rng.choice(b"abc") for _ in range(rng.randrange(2)))
+        d = edits.edit_distance(a, bytes(b))
+        for limit in {0, 1, 2, max(0, d - 1), d, d + 1, d + 7}:
+            assert edits.within(a, bytes(b), limit) == edits.within(bytes(b), a, limit) == (d <= limit)
+
+
+def test_near_without_words_that_occur_once():
+    rng = random.Random(16)
+    a = " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(2_000)).encode()
+    b = a[:4_000] + b"x" + a[4_001:]
+    assert edits.near(a, b) and edits.near(b, a)
+    far = bytearray(a)
+    for at in range(0, len(far), 9):
+        far[at] = 120
+    assert not edits.near(a, bytes(far))
+
+
 def test_edit_groups_against_all_pairs(spark):
     random.seed(6)
     word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randrange(2, 9)))
