@@ -3,9 +3,10 @@
 Log-odds of a word are those of occurring in a toxic rather than a clean labelled document, with an
 informative Dirichlet prior: pseudo-counts in proportion to the word's document frequency in the whole
 corpus. Words score ``-DRIFT`` and, if they differ from 0 by ``Z`` standard deviations, their log-odds.
-Languages and topics differ somewhat in toxicity, so words with log-odds between 0 and ``ODDS`` count as neutral. Copies of one toxic text would make all its words look toxic, so a word only has a positive
-score if its toxic occurrences have many contexts (pairs of neighbouring words): ``CONTEXTS`` of its toxic
-documents at least. The linear-time scan of Ruzzo and Tompa finds all maximal scoring segments of a document.
+Languages and topics differ somewhat in toxicity, so words with log-odds between 0 and ``ODDS`` count as neutral. All
+counts are of different texts: each of k rows of one text counts 1 / k. Edited copies of one toxic text would
+still make all its words look toxic, so a word only has a positive score if its toxic occurrences have many
+contexts (pairs of neighbouring words): ``CONTEXTS`` of its different toxic texts at least. The linear-time scan of Ruzzo and Tompa finds all maximal scoring segments of a document.
 Scores are calibrated as extreme values: lambda solves the Karlin-Altschul equation for the scores of clean
 text, and K is fitted to the best segments of the clean labelled documents. A document's p-value is the least
 that the sum statistic of its r best segments has over all r, each r weighted by 2**-r; the document is toxic
@@ -13,6 +14,7 @@ if that is at most ``ALPHA``. Passages are the segments whose own E-value is at
 
 Defined results
     * null and empty texts, and texts without words, have no segments, p-value 1, and aren't toxic
+    * rows of one text that have different labels count as one toxic text
     * one row for each row of ``docs``; labels with null toxic count as unlabelled, a document with both
       labels as toxic; repeated label rows count once
     * without both kinds of labelled documents no word has a score and nothing is toxic
@@ -43,7 +45,10 @@ E_VALUE = 0.01
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(word, toxic, clean, all, clean_tokens): documents with the word by label, and its tokens in clean ones."""
+    """(word, toxic, clean, all, clean_tokens): different texts with the word by label, and its tokens in clean ones.
+
+    ``docs`` has the ``label`` of each row's text and its ``share``, 1 by the number of rows of that text.
+    """
 
     def count(batches):
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -53,18 +58,20 @@ def _counts(docs: DataFrame) -> DataFrame:
             words = np.concatenate([p[0] for p in parts])
             values = np.concatenate([p[1] for p in parts])
             at, unique = pd.factorize(words)
-            return unique, np.stack([np.bincount(at, values[:, k], len(unique)) for k in range(4)], 1).astype(np.int64)
+            return unique, np.stack([np.bincount(at, values[:, k], len(unique)) for k in range(4)], 1)
 
         for batch in batches:
-            labels = batch.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)
+            labels = batch.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
+            shares = batch.column("share").to_numpy()
             for chunk in text.chunks(batch.column("text")):
                 w = text.words(chunk)
                 at, unique = pd.factorize(w.hash)
                 label = np.repeat(labels[chunk.rows], np.diff(w.first))
+                share = np.repeat(shares[chunk.rows], np.diff(w.first))
                 once = np.zeros(len(w.hash), np.bool_)
                 once[in_document(w)] = True
                 n = len(unique)
-                values = [np.bincount(at[mask], minlength=n) for mask in (once & (label == 1), once & (label == 0), once, label == 0)]
+                values = [np.bincount(at[mask], share[mask], n) for mask in (once & (label == 1), once & (label == 0), once, label == 0)]
                 parts.append((unique, np.stack(values, 1)))
                 held += n
                 if held > 2_000_000:
@@ -76,8 +83,9 @@ def _counts(docs: DataFrame) -> DataFrame:
                 to = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(unique[to].view(np.int64)), *(pa.array(np.ascontiguousarray(values[to, k])) for k in range(4))], names=["word", "toxic", "clean", "every", "clean_tokens"])
 
-    found = docs.select("text", "toxic").mapInArrow(count, "word long, toxic long, clean long, every long, clean_tokens long")
-    return found.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "every", "clean_tokens")))
+    found = docs.select("text", "label", "share").mapInArrow(count, "word long, toxic double, clean double, every double, clean_tokens double")
+    # the shares of a text's rows add up to whole numbers
+    return found.groupBy("word").agg(*(F.round(F.sum(c)).cast("long").alias(c) for c in ("toxic", "clean", "every", "clean_tokens")))
 
 
 def log_odds(counts: DataFrame, toxic: int, clean: int, total: int) -> DataFrame:
@@ -195,9 +203,13 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) ->
     """
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     source = docs.select("doc_id", "text").join(common.small(known.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "toxic")
-    counts = common.written(_counts(source), "odds")
-    sizes = source.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0), F.count("*")).first()
-    toxic, clean, total = sizes
+    copies = source.groupBy(F.xxhash64("text").alias("_text")).agg(F.count("*").alias("_rows"), F.max("toxic").alias("_label")).filter("_rows > 1")
+    copies = common.written(copies, "copies")
+    texts = source.join(common.small(copies), F.xxhash64("text") == F.col("_text"), "left")
+    texts = texts.select("text", F.when(F.col("_rows").isNull(), F.col("toxic")).otherwise(F.col("_label")).alias("label"), (1 / F.coalesce("_rows", F.lit(1))).alias("share"))
+    counts = common.written(_counts(texts), "odds")
+    sizes = texts.agg(*(F.sum(F.when(c, F.col("share")).otherwise(0.0)) for c in (F.col("label") == 1, F.col("label") == 0, F.lit(True)))).first()
+    toxic, clean, total = (round(x or 0) for x in sizes)
     model = pd.DataFrame({"word": [], "odds": [], "toxic": [], "clean_share": []})
     if toxic and clean:
         model = log_odds(counts, toxic, clean, total).toPandas()

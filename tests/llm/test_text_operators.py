@@ -485,6 +485,24 @@ def test_toxic_documents_are_found_and_clean_ones_left(spark):
     assert all(p.end > p.start for r in out for p in r.passages)
 
 
+def test_copies_of_a_toxic_text_take_no_word_from_the_others(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(6))
+    docs = []
+    for i in range(900):
+        words = [word() for _ in range(80)]
+        for _ in range(5 if i % 6 == 0 else 0):
+            words[rng.randrange(80)] = rng.choice(["vile", "scummy", "rotten"])
+        docs.append((i, " ".join(words), int(i % 6 == 0)))
+    copied = " ".join([*(word() for _ in range(30)), "vile", "scummy", "rotten", "vile", "scummy", "rotten"])
+    docs += [(1_000 + i, copied, 1) for i in range(2_000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    out = toxicity.toxic_passages(table.select("doc_id", "text"), table.select("doc_id", "toxic")).collect()
+    assert np.mean([r.is_toxic for r in out if r.doc_id < 900 and r.doc_id % 6 == 0]) > 0.95
+    assert all(r.is_toxic for r in out if r.doc_id >= 1_000)
+    assert np.mean([r.is_toxic for r in out if r.doc_id < 900 and r.doc_id % 6]) < 0.01
+
+
 # 10
 
 
