@@ -44,8 +44,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxic documents with their significant passages."""
-    return toxicity.toxic_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).filter("is_toxic")
+    """Every document with its significant passages; ``is_toxic`` marks the toxic ones."""
+    return toxicity.toxic_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -503,6 +503,13 @@ def test_copies_of_a_toxic_text_take_no_word_from_the_others(spark):
     assert np.mean([r.is_toxic for r in out if r.doc_id < 900 and r.doc_id % 6]) < 0.01
 
 
+def test_query_gives_every_document(spark, sf_dir, documents, labels):
+    found = queries.op9_toxic_passages(spark, sf_dir)
+    assert found.count() == documents.count()
+    expected = toxicity.toxic_passages(documents, labels).filter(F.size("passages") > 0).count()
+    assert found.filter(F.size("passages") > 0).count() == expected
+
+
 # 10
 
 
