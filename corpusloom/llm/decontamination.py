@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common, text
-from corpusloom.llm.vocabulary import HashSet
 
 HALF = 16
 RANK, OVERSAMPLING = 96, 8
@@ -44,6 +43,7 @@ SHORT = 8
 STOP_SHARE = 0.005
 #: Items that are worked on at once; a larger benchmark takes several rounds.
 ITEMS = 20_000
+SLOT_BITS = 22
 
 
 class Benchmark:
@@ -53,7 +53,9 @@ class Benchmark:
         self.ids = items.item_id.tolist()
         sequences = [text.words_of((t or "").encode()).hash for t in items.text]
         self.terms = np.unique(np.concatenate(sequences)) if sequences else np.empty(0, np.uint64)
-        self.members = HashSet(self.terms, 22)
+        #: Slots that a term has; another word may share one, so ``find`` decides.
+        self.slots = np.zeros(1 << SLOT_BITS, np.bool_)
+        self.slots[(self.terms & np.uint64(len(self.slots) - 1)).astype(np.int64)] = True
         self.items = [np.searchsorted(self.terms, s) for s in sequences]
 
     def weigh(self, df: np.ndarray, blocks: int) -> None:
@@ -76,9 +78,11 @@ class Benchmark:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, terms) of the words of ``hashes`` that are terms."""
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        places = np.flatnonzero(self.terms[at] == hashes)
-        return places, at[places]
+        maybe = np.flatnonzero(self.slots[(hashes & np.uint64(len(self.slots) - 1)).astype(np.int64)])
+        some = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.terms, some), len(self.terms) - 1)
+        hit = self.terms[at] == some
+        return maybe[hit], at[hit]
 
     def project(self, basis: np.ndarray) -> None:
         """Unit vectors of the items' pieces of two blocks each."""
@@ -114,9 +118,7 @@ def _hits(docs: DataFrame, shared) -> DataFrame:
             keep, sizes, terms, gaps = [], [], [], []
             for chunk in text.chunks(batch.column("text")):
                 w = text.words(chunk)
-                maybe = np.flatnonzero(bench.members.has(w.hash)) if len(bench.terms) < 100_000 else np.arange(len(w.hash))
-                at, number = bench.find(w.hash[maybe])
-                places = maybe[at]
+                places, number = bench.find(w.hash)
                 first = np.searchsorted(places, w.first)
                 number = number.astype(np.int32)
                 size = np.diff(w.first)

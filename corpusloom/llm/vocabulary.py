@@ -1,12 +1,9 @@
-"""Document frequencies of words over a whole table, as hashes."""
+"""First occurrences of words in documents, as hashes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.llm import text
 
@@ -15,48 +12,3 @@ def in_document(w: text.Words) -> np.ndarray:
     """Places of the first occurrence of each word in its document."""
     pair = text.mix(w.hash + np.uint64(0x9E3779B97F4A7C15) * w.doc.astype(np.uint64))
     return np.flatnonzero(~pd.Series(pair).duplicated().to_numpy())
-
-
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(word, df): in how many rows of ``docs`` (text) each word hash occurs; combined before the shuffle."""
-
-    def count(batches):
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def merged():
-            words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            at, unique = pd.factorize(words)
-            return unique, np.bincount(at, n, len(unique)).astype(np.int64)
-
-        for batch in batches:
-            for chunk in text.chunks(batch.column("text")):
-                w = text.words(chunk)
-                at, unique = pd.factorize(w.hash[in_document(w)])
-                parts.append((unique, np.bincount(at, minlength=len(unique))))
-                held += len(unique)
-                if held > 3_000_000:
-                    parts = [merged()]
-                    held = len(parts[0][0]) // 2
-        if parts:
-            unique, n = merged()
-            for at in range(0, len(unique), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(unique[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000].astype(np.int64))], names=["word", "df"])
-
-    return docs.select("text").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
-
-
-class HashSet:
-    """Set of 64-bit hashes with one probe a lookup. Of two members in a slot the greater alone is kept."""
-
-    def __init__(self, members: np.ndarray, bits: int = 20) -> None:
-        self.mask = np.uint64((1 << bits) - 1)
-        self.slots = np.zeros(1 << bits, np.uint64)
-        members = np.sort(members.astype(np.uint64))
-        self.slots[(members & self.mask).astype(np.int64)] = members
-
-    def __contains__(self, _) -> bool:
-        raise TypeError("use has()")
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        return self.slots[(hashes & self.mask).astype(np.int64)] == hashes

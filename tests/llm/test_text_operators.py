@@ -352,6 +352,16 @@ def test_subsequence():
         assert decontamination.subsequence(mask, len(a), b) == lcs(a, b)
 
 
+def test_every_term_is_found_in_texts(spark):
+    # 40,000 terms: some share a slot of any table of 2 ** 22
+    items = [(i, " ".join(f"w{4 * i + k}" for k in range(4))) for i in range(10_000)]
+    docs = spark.createDataFrame([(k, " ".join(t for _, t in items[k::50])) for k in range(50)], "doc_id long, text string")
+    bench = decontamination.Benchmark(spark.createDataFrame(items, "item_id long, text string").toPandas())
+    hits = decontamination._hits(docs.withColumn("key", F.col("doc_id")).select("key", "doc_id", "text"), spark.sparkContext.broadcast(bench))
+    found = np.concatenate([np.frombuffer(r.terms, np.int32) for r in hits.collect()])
+    assert len(bench.terms) == 40_000 and (np.bincount(found, minlength=40_000) == 1).all()
+
+
 def test_documents_without_terms_are_no_obstacle(spark):
     item = "zebras never lie about striped umbrellas in spring rain showers"
     rows = [(i, item if i % 3 == 1 else f"nothing{i} here{i}") for i in range(30)] + [(99, "last one has none")]
