@@ -5,9 +5,11 @@ a random bit of the step and the byte that all documents share. Texts of small e
 again after each edit, so their embeddings agree over long stretches (small Hamming distance). Bands sample
 k places of the embedding within ``WIDTH`` steps, where k grows with the logarithm of the number of documents.
 Bands lie at fixed steps that all documents share: a document uses every 2**level-th, with the level at which
-it has ``BANDS`` to twice as many, so documents of similar length have at least ``BANDS`` in common. Documents
-that agree in a band vote for its least member; each document's ``PARTNERS`` partners with most votes
-(``VOTES`` at least) are verified by edit distance, and verified pairs make groups. Near means an edit distance of at most
+it has ``BANDS`` to twice as many, so documents of similar length have at least ``BANDS`` in common. Every pair
+that agrees in ``VOTES`` bands is a candidate; groups are the components of the candidates that are near. To
+spare those inside a group, documents first vote for the least member of each of their bands and are verified
+with the ``PARTNERS`` of most votes; then all candidates that are still in different groups, and whose lengths
+let them be near, are verified. Near means an edit distance of at most
 ``NEAR`` of the longer text's bytes.
 
 Defined results
@@ -105,39 +107,53 @@ def walk(chunk: text.Chunk, per_band: int, bands: int = BANDS) -> tuple[np.ndarr
 
 
 def bands_of(docs: DataFrame, per_band: int, bands: int = BANDS) -> DataFrame:
-    """(band, node, whole): each text's bands, and a row with the hash of all of them as ``band`` and whole set."""
+    """(band, node, size, whole): each text's bands with its bytes, and a row with the hash of all of them as ``band`` and whole set."""
 
     def run(batches):
         for batch in text.gathered(batches, "text", STRETCH):
             nodes = batch.column("node").to_numpy()
             for chunk in text.chunks(batch.column("text"), 2 * STRETCH):
                 document, band = walk(chunk, per_band, bands)
-                own = nodes[chunk.rows]
+                own, size = nodes[chunk.rows], np.diff(chunk.offsets)
                 whole = own.view(np.uint64).copy()
                 np.bitwise_xor.at(whole, document, band)
                 for at in range(0, len(band), 200_000):
                     to = slice(at, at + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(band[to].view(np.int64)), pa.array(own[document[to]]), pa.array(np.zeros(len(band[to]), np.bool_))], names=["band", "node", "whole"])
+                    yield pa.RecordBatch.from_arrays([pa.array(band[to].view(np.int64)), pa.array(own[document[to]]), pa.array(size[document[to]]), pa.array(np.zeros(len(band[to]), np.bool_))], names=["band", "node", "size", "whole"])
                 # without bands (short texts) the text's own hash
                 known = np.zeros(chunk.n, np.bool_)
                 known[document] = True
                 whole = np.where(known, whole ^ own.view(np.uint64), own.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(own), pa.array(np.ones(chunk.n, np.bool_))], names=["band", "node", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(own), pa.array(size), pa.array(np.ones(chunk.n, np.bool_))], names=["band", "node", "size", "whole"])
 
-    return docs.select("node", "text").mapInArrow(run, "band long, node long, whole boolean")
+    return docs.select("node", "text").mapInArrow(run, "band long, node long, size long, whole boolean")
+
+
+def agreeing(rows: DataFrame) -> DataFrame:
+    """(band, node, size, whole, least): the rows of bands that two texts have, with the least of them; and whole rows."""
+    band = Window.partitionBy("band", "whole")
+    found = rows.withColumn("least", F.min("node").over(band)).withColumn("most", F.max("node").over(band))
+    return found.filter("whole or least <> most").drop("most")
 
 
 def votes(rows: DataFrame) -> DataFrame:
-    """(a, b, n, whole): in how many bands b is the least of those that agree with a; fingerprints as whole rows."""
-    least = F.min("node").over(Window.partitionBy("band", "whole"))
-    found = rows.withColumn("least", least).filter("whole or least <> node")
-    return found.groupBy(F.col("node").alias("a"), F.when(F.col("whole"), F.col("band")).otherwise(F.col("least")).alias("b"), "whole").agg(F.count("*").alias("n"))
+    """(a, b, n): in how many bands of ``agreeing`` b is the least of those that agree with a."""
+    return rows.filter("not whole and least <> node").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("n"))
+
+
+def candidates(rows: DataFrame, roots: DataFrame, share: float = NEAR) -> DataFrame:
+    """(a, b): all pairs that agree in ``VOTES`` bands, are of different roots and differ little enough in length."""
+    known = common.small(roots.toDF("_node", "_root"))
+    own = rows.filter("not whole").join(known, F.col("node") == F.col("_node"), "left").select("band", "node", "size", F.coalesce("_root", "node").alias("root"))
+    one, two = own.toDF("band", "a", "m", "p"), own.toDF("band", "b", "n", "q")
+    able = (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & (F.abs(F.col("m") - F.col("n")) <= F.floor(F.greatest("m", "n") * F.lit(share)))
+    return one.join(two, "band").filter(able).groupBy("a", "b").agg(F.count("*").alias("votes")).filter(F.col("votes") >= VOTES).select("a", "b")
 
 
 def best_partners(table: DataFrame, partners: int = PARTNERS) -> DataFrame:
     """(a, b): the partners of each document with most votes, ``VOTES`` at least; ties by the least."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    return table.filter(F.expr("not whole") & (F.col("n") >= VOTES)).withColumn("rank", rank).filter(F.col("rank") <= partners).select("a", "b")
+    return table.filter(F.col("n") >= VOTES).withColumn("rank", rank).filter(F.col("rank") <= partners).select("a", "b")
 
 
 def edit_distance(a: bytes, b: bytes) -> int:
@@ -307,10 +323,15 @@ def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS) -> Da
     node = F.when(F.length("text") > 0, F.xxhash64("text"))
     source = docs.select("doc_id", "text", node.alias("node"))
     per_band = samples_per_band(source.count())
-    table = common.written(votes(bands_of(source.filter("node is not null"), per_band, bands)), "votes")
-    best = common.written(best_partners(table), "best")
-    roots = graph.components(verified(best, source.filter("node is not null").select("node", "text"), share))
-    prints = table.filter("whole").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("fingerprint"))
+    texts = source.filter("node is not null").select("node", "text")
+    table = common.written(agreeing(bands_of(texts, per_band, bands)), "bands")
+    best = common.written(best_partners(votes(table)), "best")
+    first = verified(best, texts, share)
+    rest = candidates(table, graph.components(first), share)
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = common.written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    roots = graph.components(first.union(verified(rest, texts, share)))
+    prints = table.filter("whole").groupBy("node").agg(F.min("band").alias("fingerprint"))
     rows = source.select("doc_id", "node").join(prints, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return rows.join(groups, "root", "left").select("doc_id", "fingerprint", "group_id", "group_size")

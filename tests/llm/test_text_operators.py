@@ -310,6 +310,25 @@ def test_edit_groups_against_all_pairs(spark):
     assert all(a // 2 == b // 2 for a, b in group.items())
 
 
+def test_copies_far_from_each_other_join_their_original(spark):
+    # half the limit and a little more in bytes: two copies are further apart than the limit, each is near the original
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    docs = []
+    for g in range(12):
+        base = " ".join(word() for _ in range(400))
+        docs.append((100 * g, base))
+        for k in range(1, 41):
+            own = bytearray(base.encode())
+            at = rng.randrange(len(own) - len(own) // 20)
+            for i in range(at, at + int(0.035 * len(own))):
+                own[i] = rng.choice(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+            docs.append((100 * g + k, own.decode()))
+    group = {r.doc_id: r.group_id for r in edits.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(group[i] // 100 == i // 100 for i in group)
+    assert np.mean([group[i] == i // 100 * 100 for i in group]) > 0.99
+
+
 # 5
 
 
