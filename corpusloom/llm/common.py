@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +19,14 @@ BROADCAST_ROWS = 2_000_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing (tests, local runs) a temporary folder is made and set.
+    Only where the setting is missing and Spark runs in one process (tests, local runs) a temporary folder is
+    made and set; on a cluster that is an error, as a folder of one machine can't be shared.
     """
     prepare(spark)
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -53,6 +59,48 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release() -> None:
+    """Give memory that is free back to the system, so that idle Python workers hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def in_python(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` whose workers release their memory at the end of a task."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(released, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` of ``columns`` and doc_id are in ``rows`` (key, doc_id).
+
+    The doc_id is compared as well, so rows of equal keys but different content stay.
+    """
+    key, own = fresh(docs, "_key", "_own")
+    gone = rows.select(F.col("key").alias(key), F.col("doc_id").alias(own)).distinct()
+    return docs.join(small(gone), (row_key(*columns) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else unmarked (the join then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,21 +2,26 @@
 
 A walk over a document's bytes writes the byte under its pointer at every step and then moves on or stays, by
 a random bit of the step and the byte that all documents share. Texts of small edit distance fall into step
-again after each edit, so their embeddings agree over long stretches (small Hamming distance). Bands sample
-k places of the embedding within ``WIDTH`` steps, where k grows with the logarithm of the number of documents.
-Bands lie at fixed steps that all documents share: a document uses every 2**level-th, with the level at which
-it has ``BANDS`` to twice as many, so documents of similar length have at least ``BANDS`` in common. Every pair
-that agrees in ``VOTES`` bands is a candidate; groups are the components of the candidates that are near. To
-spare those inside a group, documents first vote for the least member of each of their bands and are verified
-with the ``PARTNERS`` of most votes; then all candidates that are still in different groups, and whose lengths
-let them be near, are verified. Near means an edit distance of at most
-``NEAR`` of the longer text's bytes.
+again after each edit, so their embeddings agree over long stretches (small Hamming distance). A band samples
+``SAMPLES`` places of the embedding within ``WIDTH`` steps. The bands lie at ``BANDS`` steps that all texts of a
+length class share; a text is also in the class below where a near one may be, so near texts have a class in
+common. A key is two bands that are ``GAP`` bands apart, so texts that share but one passage seldom have a key
+in common. Every pair of texts with a common key is a candidate; groups are the components of the candidates
+that are near: an edit distance of at most ``NEAR`` of the longer text's bytes.
+
+Candidates are verified in two rounds. First each text is compared with the ``PARTNERS`` that are the least node
+of most of its keys. Then all candidates that are still in different groups are, whatever their number. Before
+texts are fetched, pairs are rejected by a lower bound: an edit changes ``GRAM`` of a text's GRAM-byte sequences
+at most, so texts whose counts of them (over ``CELLS`` hash cells) differ more aren't near.
 
 Defined results
     * one row for each row of ``docs``; repeated rows share a group; exact copies are always found
     * null and empty texts have a null fingerprint and group (an empty text is near no other)
-    * ``group_id`` is the least doc_id of the group (null last), its own for a document without partners
+    * ``group_id`` is the least doc_id of the group (null last), its own for a document without partners; ties
+      don't arise, as equal doc_ids are the same id
     * texts too short for an edit within ``NEAR`` are near their exact copies only
+    * very long texts are walked and compared whole; an empty table gives an empty result
+    * columns of other names, whatever they are, aren't read
 """
 
 from __future__ import annotations
@@ -33,127 +38,177 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common, graph, text
 
 NEAR = 0.05
-BANDS = 48
-#: Steps of the walk that the samples of a band are taken from.
-WIDTH = 24
+BANDS, GAP = 32, 4
+#: Steps of the walk that the samples of a band are taken from, and their number.
+WIDTH, SAMPLES = 24, 12
+#: Ratio of the lengths of neighbouring classes.
+CLASS = 1.22
 PARTNERS = 2
-#: Least votes of a partner that is verified.
-VOTES = 2
+GRAM, CELLS = 4, 512
 PERIOD = 4096
-STRETCH = 24 << 20
+STRETCH = 12 << 20
 _END = 0xFF  # no byte of UTF-8
 
 
-def samples_per_band(n: int) -> int:
-    """So many that few unrelated documents of ``n`` agree in a band by chance."""
-    return max(4, math.ceil(math.log(max(n, 2)) / math.log(14)))
-
-
 def _steps() -> np.ndarray:
     moves = np.random.default_rng(31).integers(0, 2, (PERIOD, 256)).astype(np.int64)
     moves[:, _END] = 0
     return moves
 
 
-def walk(chunk: text.Chunk, per_band: int, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, hashes) of all bands that end within their document's walk of two steps a byte."""
+def classes(sizes: np.ndarray, share: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, classes): the length class of each text that an edit may be near to, and the one below if need be."""
+    rows = np.flatnonzero(np.floor(share * sizes) > 0)
+    own = np.floor(np.log(sizes[rows]) / math.log(CLASS)).astype(np.int64)
+    low = np.floor(np.log(sizes[rows] * (1 - share)) / math.log(CLASS) - 1e-9).astype(np.int64)
+    also = low < own
+    return np.concatenate([rows, rows[also]]), np.concatenate([own, low[also]])
+
+
+def _places(level: int, bands: int) -> tuple[np.ndarray, int]:
+    """(bands, samples): the steps that the bands of a class sample, and the steps that the class walks."""
+    steps = max(2 * int(CLASS**level) - 1, 2)
+    width = min(WIDTH, steps // 2)
+    offsets = np.sort(np.concatenate([[0], np.random.default_rng(43).choice(np.arange(1, WIDTH), SAMPLES - 1, replace=False)]))
+    starts = np.arange(bands) * (steps - width) // max(bands - 1, 1)
+    return starts[:, None] + offsets[None, :] * width // WIDTH, steps
+
+
+def walk(chunk: text.Chunk, share: float = NEAR, bands: int = BANDS, gap: int = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, keys, whole): the keys (documents, bands - gap) of each class of each document, and a hash of
+    all samples."""
     sizes = np.diff(chunk.offsets)
-    rows = np.flatnonzero(sizes)
-    steps = 2 * sizes[rows] - 1
-    rows, steps = rows[steps >= WIDTH], steps[steps >= WIDTH]
+    rows, level = classes(sizes, share)
     if not len(rows):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    order = np.argsort(-steps, kind="stable")
-    rows, steps = rows[order], steps[order]
-    # levels fall with the lengths, so each has a range of documents
-    level = np.maximum(0, np.floor(np.log2((steps - WIDTH + 1) / bands))).astype(np.int64)
-    low, high = int(level[-1]), int(level[0])
-    ranges = {q: (int(np.searchsorted(-level, -q, "left")), int(np.searchsorted(-level, -q, "right"))) for q in range(low, high + 1)}
-    seen_at = {q: np.zeros((hi - lo, 2 * bands, per_band), np.uint8) for q, (lo, hi) in ranges.items()}
-    offsets = [0, *sorted(np.random.default_rng(43).choice(np.arange(1, WIDTH), per_band - 1, replace=False).tolist())]
+        return rows, np.empty((0, bands - gap), np.uint64), np.empty(0, np.uint64)
+    order = np.argsort(-level, kind="stable")
+    rows, level = rows[order], level[order]
+    firsts = np.flatnonzero(np.diff(level, prepend=level[0] + 1))
+    # what is written down at each step: (column of the samples, range of documents)
+    wanted: dict[int, list[tuple[int, int, int]]] = {}
+    ends = []
+    for lo, hi in zip(firsts.tolist(), [*firsts[1:].tolist(), len(rows)], strict=True):
+        places, steps = _places(int(level[lo]), bands)
+        ends.append((hi, steps))
+        for column, step in enumerate(places.ravel().tolist()):
+            wanted.setdefault(step, []).append((column, lo, hi))
+    seen_at = np.zeros((bands * SAMPLES, len(rows)), np.uint8)
     # every document is followed by an end mark, where its pointer stays
     buffer = np.full(len(chunk.data) + chunk.n, _END, np.uint8)
     buffer[np.arange(len(chunk.data)) + np.repeat(np.arange(chunk.n), sizes)] = chunk.data
     pointer = (chunk.offsets[:-1] + np.arange(chunk.n))[rows]
-    moves, active = _steps(), len(rows)
-    for step in range(int(steps[0])):
-        while active and steps[active - 1] <= step:
-            active -= 1
+    moves = _steps()
+    for step in range(ends[0][1]):
+        while ends[-1][1] <= step:
+            ends.pop()
+        active = ends[-1][0]
         seen = buffer.take(pointer[:active])
-        least = int(level[active - 1])
-        for k, offset in enumerate(offsets):
-            band = step - offset
-            if band < 0 or band & ((1 << least) - 1):
-                continue
-            q = least
-            while q <= high and not band & ((1 << q) - 1):
-                lo, hi = ranges[q]
-                hi = min(hi, active)
-                if lo < hi and band >> q < 2 * bands:
-                    seen_at[q][: hi - lo, band >> q, k] = seen[lo:hi]
-                q += 1
+        for column, lo, hi in wanted.get(step, ()):
+            seen_at[column, lo:hi] = seen[lo:hi]
         pointer[:active] += moves[step % PERIOD].take(seen)
-    documents, hashes = [], []
-    for q, (lo, hi) in ranges.items():
-        value = np.zeros((hi - lo, 2 * bands), np.uint64)
-        for k in range(per_band):
-            value = text.mix(value + seen_at[q][:, :, k].astype(np.uint64) + np.uint64(1))
-        start = np.arange(2 * bands) << q
-        value = text.mix(value + (start.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        row, column = np.nonzero(start[None, :] + WIDTH <= steps[lo:hi, None])
-        documents.append(rows[lo:hi][row])
-        hashes.append(value[row, column])
-    return np.concatenate(documents), np.concatenate(hashes)
-
-
-def bands_of(docs: DataFrame, per_band: int, bands: int = BANDS) -> DataFrame:
-    """(band, node, size, whole): each text's bands with its bytes, and a row with the hash of all of them as ``band`` and whole set."""
+    hashes = np.zeros((bands, len(rows)), np.uint64)
+    for k in range(SAMPLES):
+        hashes = text.mix(hashes + seen_at[k::SAMPLES].astype(np.uint64) + np.uint64(1))
+    salt = np.arange(bands, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + level.astype(np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
+    hashes = text.mix(hashes + salt)
+    keys = text.mix(hashes[: bands - gap] * np.uint64(3) + text.mix(hashes[gap:])).T
+    return rows, keys, np.bitwise_xor.reduce(hashes, axis=0)
+
+
+def keys_of(docs: DataFrame, share: float = NEAR, bands: int = BANDS, gap: int = GAP) -> DataFrame:
+    """(band, node, size, whole): each text's keys as ``band`` with its bytes, and a row with its fingerprint as
+    ``band`` and whole set."""
 
     def run(batches):
         for batch in text.gathered(batches, "text", STRETCH):
             nodes = batch.column("node").to_numpy()
             for chunk in text.chunks(batch.column("text"), 2 * STRETCH):
-                document, band = walk(chunk, per_band, bands)
+                document, keys, every = walk(chunk, share, bands, gap)
                 own, size = nodes[chunk.rows], np.diff(chunk.offsets)
+                # without keys (short texts) the text's own hash
                 whole = own.view(np.uint64).copy()
-                np.bitwise_xor.at(whole, document, band)
-                for at in range(0, len(band), 200_000):
-                    to = slice(at, at + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(band[to].view(np.int64)), pa.array(own[document[to]]), pa.array(size[document[to]]), pa.array(np.zeros(len(band[to]), np.bool_))], names=["band", "node", "size", "whole"])
-                # without bands (short texts) the text's own hash
-                known = np.zeros(chunk.n, np.bool_)
-                known[document] = True
-                whole = np.where(known, whole ^ own.view(np.uint64), own.view(np.uint64))
+                np.bitwise_xor.at(whole, document, every)
+                for at in range(0, len(document), 10_000):
+                    to = slice(at, at + 10_000)
+                    row = np.repeat(document[to], keys.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[to].ravel().view(np.int64)), pa.array(own[row]), pa.array(size[row]), pa.array(np.zeros(len(row), np.bool_))], names=["band", "node", "size", "whole"])
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(own), pa.array(size), pa.array(np.ones(chunk.n, np.bool_))], names=["band", "node", "size", "whole"])
 
-    return docs.select("node", "text").mapInArrow(run, "band long, node long, size long, whole boolean")
+    return common.in_python(docs.select("node", "text"), run, "band long, node long, size long, whole boolean")
+
 
+def agreeing(keys: DataFrame) -> DataFrame:
+    """(band, node, size, least): the rows of keys that two texts have, with the least of them."""
+    groups = keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    groups = common.written(groups.select(F.col("band").alias("_band"), "least"), "groups")
+    return keys.join(common.small(groups), F.col("band") == F.col("_band")).select("band", "node", "size", "least")
 
-def agreeing(rows: DataFrame) -> DataFrame:
-    """(band, node, size, whole, least): the rows of bands that two texts have, with the least of them; and whole rows."""
-    band = Window.partitionBy("band", "whole")
-    found = rows.withColumn("least", F.min("node").over(band)).withColumn("most", F.max("node").over(band))
-    return found.filter("whole or least <> most").drop("most")
 
+def able(a: str, b: str, share: float):
+    """Whether texts of the sizes ``a`` and ``b`` may be near."""
+    return F.abs(F.col(a) - F.col(b)) <= F.floor(F.greatest(a, b) * F.lit(share))
 
-def votes(rows: DataFrame) -> DataFrame:
-    """(a, b, n): in how many bands of ``agreeing`` b is the least of those that agree with a."""
-    return rows.filter("not whole and least <> node").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("n"))
+
+def stars(rows: DataFrame, share: float = NEAR, partners: int = PARTNERS) -> DataFrame:
+    """(a, b): each text with those that are the least of most of its keys; ties by the least."""
+    heads = rows.filter("node = least").select(F.col("node").alias("b"), F.col("size").alias("n")).distinct()
+    votes = rows.filter("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("votes"), F.min("size").alias("m"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))
+    return votes.join(common.small(heads), "b").filter(able("m", "n", share)).withColumn("rank", rank).filter(F.col("rank") <= partners).select("a", "b")
 
 
 def candidates(rows: DataFrame, roots: DataFrame, share: float = NEAR) -> DataFrame:
-    """(a, b): all pairs that agree in ``VOTES`` bands, are of different roots and differ little enough in length."""
+    """(a, b): all pairs with a common key, of different roots, that differ little enough in length.
+
+    Of a key that a large group has, only the others are paired with all that have it.
+    """
     known = common.small(roots.toDF("_node", "_root"))
-    own = rows.filter("not whole").join(known, F.col("node") == F.col("_node"), "left").select("band", "node", "size", F.coalesce("_root", "node").alias("root"))
-    one, two = own.toDF("band", "a", "m", "p"), own.toDF("band", "b", "n", "q")
-    able = (F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & (F.abs(F.col("m") - F.col("n")) <= F.floor(F.greatest("m", "n") * F.lit(share)))
-    return one.join(two, "band").filter(able).groupBy("a", "b").agg(F.count("*").alias("votes")).filter(F.col("votes") >= VOTES).select("a", "b")
+    own = rows.join(known, F.col("node") == F.col("_node"), "left").select("band", "node", "size", "least", F.coalesce("_root", "node").alias("root"))
+    heads = own.filter("node = least").select(F.col("band").alias("_band"), F.col("root").alias("main"))
+    mixed = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(F.col("band").alias("_mixed"))
+    own = common.written(own.join(common.small(mixed), F.col("band") == F.col("_mixed"), "left_semi").join(common.small(heads), F.col("band") == F.col("_band")).select("band", "node", "size", "root", "main"), "mixed")
+    one = own.filter("root <> main").select("band", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("p"))
+    two = own.select("band", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("q"))
+    return one.join(two, "band").filter((F.col("p") != F.col("q")) & able("m", "n", share)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def sketch_of(raw: np.ndarray) -> np.ndarray:
+    """Counts of a text's GRAM-byte sequences in ``CELLS`` hash cells."""
+    n = len(raw) - GRAM + 1
+    if n <= 0:
+        return np.zeros(CELLS, np.uint16)
+    code = np.zeros(n, np.uint32)
+    for k in range(GRAM):
+        code = (code << np.uint32(8)) | raw[k : n + k]
+    cell = (code * np.uint32(2654435761)) >> np.uint32(32 - CELLS.bit_length() + 1)
+    return np.minimum(np.bincount(cell, minlength=CELLS), 65_535).astype(np.uint16)
+
+
+def sketches(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, size, sketch) of the texts of ``nodes``."""
+    own = docs.join(common.small(nodes.toDF("_node")), F.col("node") == F.col("_node"), "left_semi").select("node", "text")
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text.string_buffers(batch.column("text"))
+            found = [sketch_of(data[offsets[i] : offsets[i + 1]]).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(offsets)), pa.array(found, pa.binary())], names=["node", "size", "sketch"])
+
+    return common.in_python(own, run, "node long, size long, sketch binary").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
 
 
-def best_partners(table: DataFrame, partners: int = PARTNERS) -> DataFrame:
-    """(a, b): the partners of each document with most votes, ``VOTES`` at least; ties by the least."""
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))
-    return table.filter(F.col("n") >= VOTES).withColumn("rank", rank).filter(F.col("rank") <= partners).select("a", "b")
+def possible(pairs: DataFrame, sketched: DataFrame, share: float = NEAR) -> DataFrame:
+    """The pairs that the lower bound of their sketches lets be near."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(text.string_buffers(batch.column(c))[0].tobytes(), np.uint16).reshape(-1, CELLS) for c in ("x", "y"))
+            limit = np.floor(share * np.maximum(batch.column("m").to_numpy(), batch.column("n").to_numpy()))
+            take = pa.array(np.flatnonzero(np.abs(x.astype(np.int32) - y).sum(1) <= 2 * GRAM * limit))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
+
+    both = pairs.join(sketched.toDF("a", "m", "x"), "a").join(sketched.toDF("b", "n", "y"), "b")
+    return common.in_python(both.select("a", "b", "m", "n", "x", "y"), run, "a long, b long")
 
 
 def edit_distance(a: bytes, b: bytes) -> int:
@@ -295,26 +350,27 @@ def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR) -> DataFram
     """
     spark = pairs.sparkSession
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("_node")
-    own = docs.join(common.small(wanted), F.col("node") == F.col("_node"), "left_semi").select("node", "text")
+    own = docs.join(common.small(common.written(wanted, "wanted")), F.col("node") == F.col("_node"), "left_semi").select("node", "text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"corpusloom_texts_{uuid.uuid4().hex}", common.scratch(spark, "texts")
-    own.repartition(buckets, "node").dropDuplicates(["node"]).write.bucketBy(buckets, "node").sortBy("node").option("path", path).format("parquet").saveAsTable(name)
+    # copies are combined before the shuffle
+    own.dropDuplicates(["node"]).write.bucketBy(buckets, "node").sortBy("node").option("path", path).format("parquet").saveAsTable(name)
     texts = spark.table(name)
 
     def check(batches):
         for batch in batches:
-            one, two = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            take = pa.array([i for i, (p, q) in enumerate(zip(one, two, strict=True)) if near(p.encode(), q.encode(), share)], pa.int64())
+            one, two = batch.column("x"), batch.column("y")
+            take = pa.array([i for i in range(batch.num_rows) if near(one[i].as_py().encode(), two[i].as_py().encode(), share)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    found = common.written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near")
+    found = common.written(common.in_python(both.select("a", "b", "x", "y"), check, "a long, b long"), "near")
     spark.sql(f"drop table if exists {name}")
     common.drop_path(spark, path)
     return found
 
 
-def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS) -> DataFrame:
+def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS, gap: int = GAP) -> DataFrame:
     """(doc_id, fingerprint, group_id, group_size) of each row of ``docs`` (doc_id, text).
 
     ``fingerprint`` is a hash of all samples of the embedding.
@@ -322,14 +378,16 @@ def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS) -> Da
     common.prepare(docs.sparkSession)
     node = F.when(F.length("text") > 0, F.xxhash64("text"))
     source = docs.select("doc_id", "text", node.alias("node"))
-    per_band = samples_per_band(source.count())
     texts = source.filter("node is not null").select("node", "text")
-    table = common.written(agreeing(bands_of(texts, per_band, bands)), "bands")
-    best = common.written(best_partners(votes(table)), "best")
-    first = verified(best, texts, share)
-    rest = candidates(table, graph.components(first), share)
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = common.written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    # rows of copies are combined before the shuffle
+    table = common.written(keys_of(texts, share, bands, gap).groupBy("band", "node", "whole").agg(F.min("size").alias("size")), "keys")
+    rows = common.written(agreeing(table.filter("not whole")), "agreeing")
+    sketched = common.written(sketches(texts, common.written(rows.select("node").distinct(), "nodes")), "sketches")
+    tried = common.written(stars(rows, share), "stars")
+    first = verified(common.written(possible(tried, sketched, share), "possible"), texts, share)
+    rest = candidates(rows, graph.components(first), share)
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = common.written(possible(rest.join(known, ["a", "b"], "left_anti"), sketched, share), "possible")
     roots = graph.components(first.union(verified(rest, texts, share)))
     prints = table.filter("whole").groupBy("node").agg(F.min("band").alias("fingerprint"))
     rows = source.select("doc_id", "node").join(prints, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
