@@ -17,9 +17,11 @@ text keeps, for each document, the places of those words. All later passes read
 Defined results
     * null and empty texts match nothing; so do items without words; an empty benchmark or table gives no rows
     * items of fewer than ``SHORT`` words are found only in full
-    * one row for each row of ``docs`` and item that match, the best window's (ties: the earliest);
-      rows of ``docs`` equal in doc_id and text are one; items equal in item_id and text are one
+    * one row for each row of ``docs`` and item_id that match, the best window's (ties: the earliest);
+      rows of ``docs`` equal in doc_id and text are one; of texts with one item_id the best match is given
     * null doc_ids and item_ids are reported as they are
+    * very long texts are searched whole; other columns, whatever their names, aren't read by ``contaminated``
+      and pass through ``decontaminate``
 """
 
 from __future__ import annotations
@@ -131,7 +133,7 @@ def _hits(docs: DataFrame, shared) -> DataFrame:
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("doc_id").take(rows), pa.array(sizes, pa.int64()), pa.array(terms, pa.binary()), pa.array(gaps, pa.binary())], names=["key", "doc_id", "words", "terms", "gaps"])
 
-    return docs.mapInArrow(find, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, words long, terms binary, gaps binary")
+    return common.in_python(docs, find, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, words long, terms binary, gaps binary")
 
 
 def _unpacked(batch: pa.RecordBatch, most: int = 100_000):
@@ -145,9 +147,8 @@ def _unpacked(batch: pa.RecordBatch, most: int = 100_000):
         to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         first = offsets[at : to + 1] - offsets[at]
         own = slice(offsets[at], offsets[to])
-        sums = np.cumsum(gaps[own], dtype=np.int64)
-        base = np.where(first[:-1] > 0, sums[np.maximum(first[:-1] - 1, 0)], 0)
-        yield np.arange(at, to), first, terms[own], sums - np.repeat(base, np.diff(first))
+        sums = np.concatenate([[0], np.cumsum(gaps[own], dtype=np.int64)])
+        yield np.arange(at, to), first, terms[own], sums[1:] - np.repeat(sums[first[:-1]], np.diff(first))
         at = to
 
 
@@ -171,7 +172,7 @@ def _frequencies(hits: DataFrame, terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], names=["term", "df"])
 
     out = np.zeros(terms, np.int64)
-    found = hits.select("terms", "gaps").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    found = common.in_python(hits.select("terms", "gaps"), count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
     out[found.term] = found.df
     return out
 
@@ -191,6 +192,8 @@ def _svd(hits: DataFrame, shared, rank: int, terms: int) -> np.ndarray:
     """(terms, rank): right singular vectors of the TF-IDF matrix of blocks, by a randomised range finder."""
     spark = hits.sparkSession
     width = min(rank + OVERSAMPLING, terms)
+    # every task sends a matrix, so there are as many tasks as run at once, twice that at most
+    hits = hits.coalesce(2 * spark.sparkContext.defaultParallelism)
     names = [f"g{i}" for i in range(width)]
 
     def gather(start):
@@ -213,7 +216,7 @@ def _svd(hits: DataFrame, shared, rank: int, terms: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(total[some, i])) for i in range(width))], names=["term", *names])
 
         schema = "term int, " + ", ".join(f"{n} double" for n in names)
-        found = hits.select("terms", "gaps").mapInArrow(gathered, schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+        found = common.in_python(hits.select("terms", "gaps"), gathered, schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
         out = np.zeros((terms, width))
         out[found.term] = found[names].to_numpy()
         return out
@@ -292,7 +295,7 @@ def _matches(hits: DataFrame, shared, cosine: float, share: float, item_type: st
                 )
 
     types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return hits.mapInArrow(match, f"key long, doc_id {hits.schema['doc_id'].dataType.simpleString()}, item_id {item_type}, word long, cosine double, share double, answer_share double")
+    return common.in_python(hits, match, f"key long, doc_id {hits.schema['doc_id'].dataType.simpleString()}, item_id {item_type}, word long, cosine double, share double, answer_share double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = SHARE, rank: int = RANK, items: int = ITEMS) -> DataFrame:
@@ -319,12 +322,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
         bench.weigh(df, int(blocks))
         bench.project(_svd(hits, spark.sparkContext.broadcast(bench), rank, terms))
         matches = _matches(hits, spark.sparkContext.broadcast(bench), cosine, share, benchmark.schema["item_id"].dataType.simpleString())
-        matches = matches.dropDuplicates(["key", "item_id"])
+        # the best window of each document and item; of texts with one item_id too
+        rank_of = F.struct("share", (-F.col("word")).alias("early"), "cosine", "answer_share")
+        best = matches.groupBy("key", "doc_id", "item_id").agg(F.max(rank_of).alias("best"))
+        matches = best.select("key", "doc_id", "item_id", (-F.col("best.early")).alias("word"), "best.cosine", "best.share", "best.answer_share")
         found = matches if found is None else found.unionByName(matches)
     return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that hold no item of the benchmark, with all their columns."""
-    bad = common.written(contaminated(docs, benchmark, **options).select(F.col("key").alias("_bad")).distinct(), "leaks")
-    return docs.join(common.small(bad), common.row_key("doc_id", "text") == F.col("_bad"), "left_anti")
+    bad = common.written(contaminated(docs, benchmark, **options).select("key", "doc_id").distinct(), "leaks")
+    return common.without(docs, bad, "doc_id", "text")

@@ -95,7 +95,7 @@ def gram_counts(docs: DataFrame, order: int) -> DataFrame:
                 to = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(lang[to], pa.string()), pa.array(codes[to]), pa.array(n[to])], names=["lang", "gram", "n"])
 
-    return docs.select("lang", "text").mapInArrow(count, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return common.in_python(docs.select("lang", "text"), count, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _score_local(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(column, pa.string()), pa.array(grams), pa.array(perplexity, pa.float64(), mask=grams == 0)], names=["key", "doc_id", "lang", "grams", "perplexity"])
 
     fields = docs.schema
-    return docs.mapInArrow(score, f"key long, doc_id {fields['doc_id'].dataType.simpleString()}, lang string, grams long, perplexity double")
+    return common.in_python(docs, score, f"key long, doc_id {fields['doc_id'].dataType.simpleString()}, lang string, grams long, perplexity double")
 
 
 def _score_joined(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _score_joined(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
                 rows = pa.array(pairs["row"])
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("lang").take(rows), pa.array(pairs["gram"]), pa.array(pairs["count"])], names=["key", "lang", "gram", "n"])
 
-    parts = keyed.select("key", "lang", "text").distinct().mapInArrow(grams, "key long, lang string, gram long, n long")
+    parts = common.in_python(keyed.select("key", "lang", "text").distinct(), grams, "key long, lang string, gram long, n long")
     needed = parts.select("lang", "gram").distinct().withColumn("p", F.lit(1 / 256))
     for m in range(1, order + 1):
         own = model.filter(f"m = {m} and kind = 'p'").select("lang", F.col("gram").alias("code"), F.col("p").alias("own"))
@@ -247,6 +247,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that ``quality_scores`` keeps, with all their columns."""
-    rejected = common.written(quality_scores(docs, labels, **options).filter("not keep").select("key").distinct(), "rejected")
-    key = common.row_key("doc_id", "text", "lang")
-    return docs.join(common.small(rejected.withColumnRenamed("key", "_rejected")), key == F.col("_rejected"), "left_anti")
+    rejected = common.written(quality_scores(docs, labels, **options).filter("not keep").select("key", "doc_id").distinct(), "rejected")
+    return common.without(docs, rejected, "doc_id", "text", "lang")

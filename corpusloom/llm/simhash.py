@@ -16,8 +16,8 @@ Defined results
     * null and empty texts, and texts without a word, have no fingerprint and form no group
     * rows that are equal in doc_id and text are one row of the result, their number in ``rows``
     * equal fingerprints are found exactly; a group keeps its least doc_id (null last), ties by row key
-    * an empty table gives an empty result; columns of other names aren't read by ``near_duplicates`` and
-      pass through ``near_duplicate_filter``
+    * an empty table gives an empty result; columns of other names, whatever they are, aren't read by
+      ``near_duplicates`` and pass through ``near_duplicate_filter``; very long texts count whole
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("doc_id").take(rows), *(pa.array(np.ascontiguousarray(signed[:, k])) for k in range(4))], names=["key", "doc_id", *_WORDS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(build, f"key long, doc_id {kind}, f0 long, f1 long, f2 long, f3 long")
+    return common.in_python(source, build, f"key long, doc_id {kind}, f0 long, f1 long, f2 long, f3 long")
 
 
 def _signs(prints: np.ndarray) -> np.ndarray:
@@ -299,9 +299,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECAL
             a.append(ids[rows[x]])
             b.append(ids[rows[y]])
         both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        common.release()
         return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
-    spread_out = distinct.mapInArrow(spread, "list long, node long, f0 long, f1 long, f2 long, f3 long")
+    spread_out = common.in_python(distinct, spread, "list long, node long, f0 long, f1 long, f2 long, f3 long")
     edges = spread_out.groupBy("list").applyInArrow(link, "a long, b long")
     roots = graph.components(edges)
     grouped = prints.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
@@ -313,13 +314,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECAL
 def near_duplicate_filter(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group, and one of each set of equal rows; rows without a word stay."""
     found = common.written(near_duplicates(docs, **options), "near")
-    key = common.row_key("doc_id", "text")
-    drop = found.filter("not keep").select(F.col("key").alias("_drop"))
-    kept = docs.join(common.small(drop), key == F.col("_drop"), "left_anti")
-    again = found.filter("keep and rows > 1").select(F.col("key").alias("_again"))
+    kept = common.without(docs, found.filter("not keep"), "doc_id", "text")
+    again = found.filter("keep and rows > 1")
     if again.isEmpty():
         return kept
-    again = common.small(again)
-    once = kept.join(again, key == F.col("_again"), "left_anti")
-    repeated = kept.withColumn("_key", key).join(again, F.col("_key") == F.col("_again"), "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["_key"]).drop("_key"))
+    once = common.without(kept, again, "doc_id", "text")
+    key, mark = common.fresh(docs, "_key", "_mark")
+    marks = common.small(again.select(F.col("key").alias(mark)).distinct())
+    repeated = kept.withColumn(key, common.row_key("doc_id", "text")).join(marks, F.col(key) == F.col(mark), "left_semi")
+    return once.unionByName(repeated.dropDuplicates([key, "doc_id"]).drop(key))

@@ -104,3 +104,17 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir, awkward, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(number)))
     assert docs.count()
     assert corpus_pipeline.STAGES[0][1](spark, awkward.limit(0), sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("name", ["redact", "simhash_filter", "decontaminate", "quality_filter"])
+def test_stages_with_clashing_columns(spark, name, labels, benchmark_items):
+    some = "the quick brown fox jumps over the lazy dog and runs far away from the noisy town " * 4
+    docs = spark.createDataFrame([(1, some, "en"), (1, some, "en"), (2, "words that nobody else has, at least not here", "en"), (3, None, "en")], "doc_id long, text string, lang string")
+    names = "_key _KEY_ _drop _again _bad _rejected _wanted _id _node _own _mark key node list band word group label toxic share rows keep".split()
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    out = operators(labels, benchmark_items)[name](docs)
+    rows = out.collect()
+    assert out.columns == docs.columns and all(r[n] == n for r in rows for n in names)
+    expected = {"redact": [1, 1, 2, 3], "simhash_filter": [1, 2, 3], "decontaminate": [2, 3], "quality_filter": [1, 1, 2, 3]}
+    assert sorted(r.doc_id for r in rows) == expected[name]

@@ -389,6 +389,16 @@ def test_documents_without_terms_are_no_obstacle(spark):
     assert {r.doc_id for r in found} == {i for i in range(30) if i % 3 == 1}
 
 
+@pytest.mark.parametrize("docs", [[(1, "{}"), (2, "other words here entirely and more")], [(i, f"nothing{i} at all") for i in range(30)], [(1, "{}"), *((i, f"filler{i} only") for i in range(2, 40))]])
+def test_batches_without_words_of_the_benchmark(spark, docs):
+    item = "zebras never lie about striped umbrellas in spring rain showers"
+    table = spark.createDataFrame([(i, t.format(item)) for i, t in docs], "doc_id long, text string").repartition(len(docs))
+    items = spark.createDataFrame([(7, item), (7, "another text of that id which nobody has anywhere in here")], "item_id long, text string")
+    held = [i for i, t in docs if t == "{}"]
+    assert [(r.doc_id, r.item_id, r.share) for r in decontamination.contaminated(table, items).collect()] == [(i, 7, 1.0) for i in held]
+    assert sorted(r.doc_id for r in decontamination.decontaminate(table, items).collect()) == [i for i, t in docs if t != "{}"]
+
+
 def test_paraphrased_items_are_found_and_clean_documents_not(spark, documents, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     random.seed(8)
