@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ from corpusloom.llm import common, text
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text whose words are replayed together, and words that are remembered within a task.
-STRETCH, REMEMBERED = 12 << 20, 300_000
+STRETCH, REMEMBERED = 4 << 20, 150_000
+#: Bytes of new words that are laid out and replayed at once.
+REPLAYED = 1 << 20
 #: Bytes of text whose tokens are put out and decoded together.
 PIECE = 1 << 20
 
@@ -188,10 +190,19 @@ class Encoder:
         known, number = len(self.numbers), self.numbers.__getitem__
         words = [np.fromiter(map(number, self.find(t)), np.int32) for t in texts]
         if len(self.numbers) > known:
-            new = [w.encode() for w in list(self.numbers)[known:]]
-            tokens, offsets = replay(new, self.vocabulary)
-            self.offsets = np.concatenate([self.offsets, offsets[1:] + len(self.tokens)])
-            self.tokens = np.concatenate([self.tokens, tokens])
+            new, size, tokens, offsets = [], 0, [self.tokens], [self.offsets]
+            have = len(self.tokens)
+            for w in islice(self.numbers, known, None):
+                new.append(w.encode())
+                size += len(new[-1])
+                if size >= REPLAYED or len(new) + known == len(self.numbers):
+                    known += len(new)
+                    own, ends = replay(new, self.vocabulary)
+                    tokens.append(own)
+                    offsets.append(ends[1:] + have)
+                    have += len(own)
+                    new, size = [], 0
+            self.tokens, self.offsets = np.concatenate(tokens), np.concatenate(offsets)
         return words
 
     def join(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +246,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, piece.n), pa.array(np.diff(offsets)), lists, pa.array(same)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, tokens array<int>, round_trip boolean")
+    return common.in_python(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, tokens array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:

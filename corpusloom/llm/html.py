@@ -182,7 +182,7 @@ def _found(pages: DataFrame) -> DataFrame:
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows, pa.int64())), pa.array(hosts, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "host", "subtrees"])
 
-    return pages.select("key", "url", "html").mapInArrow(hashes, "key long, host string, subtrees array<long>")
+    return common.in_python(pages.select("key", "url", "html"), hashes, "key long, host string, subtrees array<long>")
 
 
 def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE, broadcast: int = TEMPLATES) -> DataFrame:
@@ -213,11 +213,11 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE, broadcas
             for batch in batches:
                 yield batch_of(batch, [shared.value] * batch.num_rows)
 
-        return source.mapInArrow(cut, schema)
+        return common.in_python(source, cut, schema)
     own = found.select("key", F.explode("subtrees").alias("subtree")).join(template, "subtree").groupBy("key").agg(F.collect_set("subtree").alias("own"))
 
     def cut_own(batches):
         for batch in batches:
             yield batch_of(batch, [frozenset(x or ()) for x in batch.column("own").to_pylist()])
 
-    return source.join(own, "key", "left").mapInArrow(cut_own, schema)
+    return common.in_python(source.join(own, "key", "left"), cut_own, schema)

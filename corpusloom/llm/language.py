@@ -133,4 +133,4 @@ def identify(docs: DataFrame, training: DataFrame | None = None, sample: int = S
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(langs[best], pa.string(), mask=none), pa.array(top, pa.float64(), mask=none), pa.array(top - rest, pa.float64(), mask=none | (len(langs) < 2))], names=["doc_id", "lang", "predicted", "score", "margin"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {kind}, lang string, predicted string, score double, margin double")
+    return common.in_python(docs.select("doc_id", "text", "lang"), run, f"doc_id {kind}, lang string, predicted string, score double, margin double")

@@ -255,7 +255,7 @@ def credential_values(docs: DataFrame, secret: float = SECRET) -> DataFrame:
 
     common.prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, start long, length long, context string, guesses_log10 double, spans string, digest string, is_secret boolean")
+    return common.in_python(docs.select("doc_id", "text"), scan, f"doc_id {kind}, start long, length long, context string, guesses_log10 double, spans string, digest string, is_secret boolean")
 
 
 def redact(docs: DataFrame, secret: float = SECRET) -> DataFrame:

@@ -83,7 +83,7 @@ def _counts(docs: DataFrame) -> DataFrame:
                 to = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(unique[to].view(np.int64)), *(pa.array(np.ascontiguousarray(values[to, k])) for k in range(4))], names=["word", "toxic", "clean", "every", "clean_tokens"])
 
-    found = docs.select("text", "label", "share").mapInArrow(count, "word long, toxic double, clean double, every double, clean_tokens double")
+    found = common.in_python(docs.select("text", "label", "share"), count, "word long, toxic double, clean double, every double, clean_tokens double")
     # the shares of a text's rows add up to whole numbers
     return found.groupBy("word").agg(*(F.round(F.sum(c)).cast("long").alias(c) for c in ("toxic", "clean", "every", "clean_tokens")))
 
@@ -120,7 +120,7 @@ def varied(docs: DataFrame, candidates: pd.DataFrame) -> np.ndarray:
                 pairs = np.unique(np.stack([w.hash[places], text.mix(left * np.uint64(3) + text.mix(right))], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in range(2)], names=["word", "context"])
 
-    found = docs.filter("toxic = 1").select("text").mapInArrow(contexts, "word long, context long")
+    found = common.in_python(docs.filter("toxic = 1").select("text"), contexts, "word long, context long")
     n = found.distinct().groupBy("word").agg(F.count("*").alias("n")).toPandas().set_index("word").n
     return candidates.word.map(n).fillna(0).to_numpy() >= np.maximum(CONTEXTS * candidates.toxic.to_numpy(), 3)
 
@@ -193,7 +193,7 @@ def _segments(docs: DataFrame, words: np.ndarray, odds: np.ndarray) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(n_words), pa.array(out, kind)], names=["doc_id", "toxic", "n_words", "segments"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(scan, f"doc_id {id_type}, toxic int, n_words long, segments array<struct<start:long,end:long,score:double>>")
+    return common.in_python(docs, scan, f"doc_id {id_type}, toxic int, n_words long, segments array<struct<start:long,end:long,score:double>>")
 
 
 def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) -> DataFrame:
