@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -49,27 +50,71 @@ def test_words_and_windows():
 # 1
 
 
+def brute_guesses(value, repeats=True):
+    """The least cost by the definitions: every span of every kind is priced by hand, every segmentation tried."""
+    n, low = len(value), value.lower()
+    classes = 10 * any(c.isdecimal() for c in value)
+    for own, few in (([c for c in value if c.islower()], "abcdef"), ([c for c in value if c.isupper()], "ABCDEF")):
+        if own:
+            classes += 6 if n >= 8 and set(own) <= set(few) else 26
+    classes += 33 * any(not c.isalnum() for c in value)
+    each = math.log10(max(classes, 10))
+    keys = [secrets._SHIFTED.get(c, c) for c in low]
+    ranks = {w: i for i, w in reversed(list(enumerate(secrets.COMMON.words, 1)))}
+    price = {}
+
+    def offer(i, j, cost):
+        price[i, j] = min(price.get((i, j), math.inf), cost)
+
+    for i, j in itertools.combinations(range(n + 1), 2):
+        part, small = value[i:j], low[i:j]
+        offer(i, j, each * (j - i))
+        for plain, extra in ((small, 0), (small.translate(secrets._SWAPS), math.log10(2)), (small[::-1], math.log10(2))):
+            if plain in ranks and (extra == 0 or plain != small or small == small[::-1]):
+                offer(i, j, math.log10(ranks[plain] + 1) + extra + secrets._case_cost(part))
+        if j - i in (4, 6, 7, 8, 9, 10) and part[0].isdecimal() and part[-1].isdecimal() and secrets._date_cost(part) is not None:
+            offer(i, j, secrets._date_cost(part))
+        steps = {ord(b) - ord(a) for a, b in itertools.pairwise(part)}
+        if j - i >= 3 and len(steps) == 1 and abs(min(steps)) in (1, 2):
+            offer(i, j, math.log10((4 if part[0] in "aA01zZ9" else 26) * (j - i) * (1 if steps == {1} else 2)))
+        ways = [secrets._beside(a, b) for a, b in itertools.pairwise(keys[i:j])]
+        if j - i >= 4 and all(ways):
+            offer(i, j, math.log10(47 * (j - i)) + (1 + sum(a != b for a, b in itertools.pairwise(ways))) * math.log10(4.6))
+        for p in range(1, (j - i) // 2 + 1 if repeats else 0):
+            unit = part[:p]
+            if (j - i) % p == 0 and unit * ((j - i) // p) == part and j - i >= 3 and (unit + unit).find(unit, 1) == p:
+                offer(i, j, brute_guesses(unit, False) + math.log10((j - i) // p))
+    best = [0.0]
+    for j in range(1, n + 1):
+        best.append(min(best[i] + price[i, j] for i in range(j)))
+    return best[n]
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
-    def brute(value):
-        known = {(i, j): c for i, j, _, c in sorted(secrets.spans(value), key=lambda s: -s[3])}
-        each = secrets.guess_cost("\x7f" * 0 + value)[0]
-        classes = 10 * any(c.isdecimal() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 33 * any(not c.isalnum() for c in value)
-        unit = math.log10(max(classes, 10))
-        best = math.inf
-        for cuts in itertools.product([0, 1], repeat=len(value) - 1):
-            ends = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(value)]
-            best = min(best, sum(min(known.get(p, math.inf), (p[1] - p[0]) * unit) for p in itertools.pairwise(ends)))
-        return best, each
-
-    for value in ("love2024", "qwerty!", "xK9mP2", "dragon99", "abcd7", "p4ssword", "Zz-1999"):
-        if not secrets._REPEAT.search(value) or len(max(secrets._REPEAT.findall(value), key=len)) < 2:
-            best, got = brute(value)
-            assert got <= best + 1e-9 and got >= best - 1.5, value
-    assert secrets.guess_cost("9233a8ecf7c5b09fe5949719b6b82bc439e9329b")[0] > 30
+    rng = random.Random(3)
+    values = ["love2024", "qwerty!", "xK9mP2", "dragon99", "abcd7", "p4ssword", "Zz-1999", "passwordwordword", "cabcabc", "aaaaaaa", "hahahaha!", "qwertyqwerty12", "zyxwvu1357", "drowssap", "12/04/1998x", "asdfvcxzasdf", "1q2w3e4r", "DRAGONdragon", "acegikm", "abababcabababc"]
+    for _ in range(150):
+        values.append("".join(rng.choice(["abc", "123", "qwer", "love", "pass", "xx", "1999", "zx", "Q", "7", "!", "tset", "ab", "fdsa"]) for _ in range(rng.randrange(1, 6))))
+    for value in values:
+        got, cut = secrets.guess_cost(value)
+        assert math.isclose(got, brute_guesses(value), abs_tol=1e-9), value
+        assert [i for i, _, _ in cut] == [0, *(j for _, j, _ in cut[:-1])] and cut[-1][1] == len(value)
+    assert secrets.guess_cost("9233a8ecf7c5b09fe5949719b6b82bc439e9329b", secrets.dictionary())[0] > 30
     assert secrets.guess_cost("password123")[0] < 3
     assert secrets.guess_cost("abcabcabcabc")[0] < 3
     assert secrets.guess_cost("qwertyuiop")[1] == [(0, 10, "keyboard")]
     assert secrets.guess_cost("12/04/1998")[1] == [(0, 10, "date")]
+    assert secrets.guess_cost("elephantgiraffe", secrets.dictionary())[0] < 14 < secrets.guess_cost("elephantgiraffe")[0]
+
+
+@pytest.mark.parametrize("value", ["random", "a" * 300_000, "abc" * 100_000, "0123456789" * 30_000, "qwertyuiop" * 30_000, "password" * 40_000])
+def test_long_values_take_time_in_proportion(value):
+    rng = random.Random(2)
+    if value == "random":
+        value = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=300_000))
+    began = time.process_time()
+    secrets.guess_cost(value, secrets.dictionary())
+    assert time.process_time() - began < 40
 
 
 def test_secrets_of_the_corpus(spark):
