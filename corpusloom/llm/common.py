@@ -59,6 +59,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``written`` gave, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        drop_path(df.sparkSession, files[0].rpartition("/")[0])
+
+
 def release() -> None:
     """Give memory that is free back to the system, so that idle Python workers hold little."""
     pa.default_memory_pool().release_unused()

@@ -9,8 +9,8 @@ common. A key is two bands that are ``GAP`` bands apart, so texts that share but
 in common. Every pair of texts with a common key is a candidate; groups are the components of the candidates
 that are near: an edit distance of at most ``NEAR`` of the longer text's bytes.
 
-Candidates are verified in two rounds. First each text is compared with the ``PARTNERS`` that are the least node
-of most of its keys. Then all candidates that are still in different groups are, whatever their number. Before
+Candidates are verified in two rounds. First each text is compared with the ``PARTNERS`` that are the hub of
+most of its keys, the text that has most candidates. Then all candidates that are still in different groups are, whatever their number. Before
 texts are fetched, pairs are rejected by a lower bound: an edit changes ``GRAM`` of a text's GRAM-byte sequences
 at most, so texts whose counts of them (over ``CELLS`` hash cells) differ more aren't near.
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ WIDTH, SAMPLES = 24, 12
 CLASS = 1.22
 PARTNERS = 2
 GRAM, CELLS = 4, 512
+#: Limits up to which the bands of ``TOGETHER`` pairs are worked on at once; wider ones are fast one by one.
+WIDE, TOGETHER = 400, 512
 PERIOD = 4096
 STRETCH = 12 << 20
 _END = 0xFF  # no byte of UTF-8
@@ -138,10 +140,17 @@ def keys_of(docs: DataFrame, share: float = NEAR, bands: int = BANDS, gap: int =
 
 
 def agreeing(keys: DataFrame) -> DataFrame:
-    """(band, node, size, least): the rows of keys that two texts have, with the least of them."""
-    groups = keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-    groups = common.written(groups.select(F.col("band").alias("_band"), "least"), "groups")
-    return keys.join(common.small(groups), F.col("band") == F.col("_band")).select("band", "node", "size", "least")
+    """(band, node, size, hub): the rows of keys that two texts have.
+
+    ``hub`` is the text of the key with most candidates by all its keys, ties by the node. Edited copies have lost
+    the keys around their edits, so the text that they were copied from has most.
+    """
+    groups = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    groups = common.written(groups.select(F.col("band").alias("_band"), "n"), "groups")
+    rows = common.written(keys.join(common.small(groups), F.col("band") == F.col("_band")).select("band", "node", "size", "n"), "shared")
+    weights = common.written(rows.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    hubs = rows.join(common.small(weights), "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("hub"))
+    return rows.join(hubs.select("band", "hub.node").toDF("band", "hub"), "band").select("band", "node", "size", "hub")
 
 
 def able(a: str, b: str, share: float):
@@ -150,9 +159,9 @@ def able(a: str, b: str, share: float):
 
 
 def stars(rows: DataFrame, share: float = NEAR, partners: int = PARTNERS) -> DataFrame:
-    """(a, b): each text with those that are the least of most of its keys; ties by the least."""
-    heads = rows.filter("node = least").select(F.col("node").alias("b"), F.col("size").alias("n")).distinct()
-    votes = rows.filter("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("votes"), F.min("size").alias("m"))
+    """(a, b): each text with those that are the hub of most of its keys; ties by the least."""
+    heads = rows.filter("node = hub").select(F.col("node").alias("b"), F.col("size").alias("n")).distinct()
+    votes = rows.filter("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("votes"), F.min("size").alias("m"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))
     return votes.join(common.small(heads), "b").filter(able("m", "n", share)).withColumn("rank", rank).filter(F.col("rank") <= partners).select("a", "b")
 
@@ -163,8 +172,8 @@ def candidates(rows: DataFrame, roots: DataFrame, share: float = NEAR) -> DataFr
     Of a key that a large group has, only the others are paired with all that have it.
     """
     known = common.small(roots.toDF("_node", "_root"))
-    own = rows.join(known, F.col("node") == F.col("_node"), "left").select("band", "node", "size", "least", F.coalesce("_root", "node").alias("root"))
-    heads = own.filter("node = least").select(F.col("band").alias("_band"), F.col("root").alias("main"))
+    own = rows.join(known, F.col("node") == F.col("_node"), "left").select("band", "node", "size", "hub", F.coalesce("_root", "node").alias("root"))
+    heads = own.filter("node = hub").select(F.col("band").alias("_band"), F.col("root").alias("main"))
     mixed = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(F.col("band").alias("_mixed"))
     own = common.written(own.join(common.small(mixed), F.col("band") == F.col("_mixed"), "left_semi").join(common.small(heads), F.col("band") == F.col("_band")).select("band", "node", "size", "root", "main"), "mixed")
     one = own.filter("root <> main").select("band", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("p"))
@@ -173,15 +182,15 @@ def candidates(rows: DataFrame, roots: DataFrame, share: float = NEAR) -> DataFr
 
 
 def sketch_of(raw: np.ndarray) -> np.ndarray:
-    """Counts of a text's GRAM-byte sequences in ``CELLS`` hash cells."""
+    """Counts, up to 255, of a text's GRAM-byte sequences in ``CELLS`` hash cells."""
     n = len(raw) - GRAM + 1
     if n <= 0:
-        return np.zeros(CELLS, np.uint16)
+        return np.zeros(CELLS, np.uint8)
     code = np.zeros(n, np.uint32)
     for k in range(GRAM):
         code = (code << np.uint32(8)) | raw[k : n + k]
     cell = (code * np.uint32(2654435761)) >> np.uint32(32 - CELLS.bit_length() + 1)
-    return np.minimum(np.bincount(cell, minlength=CELLS), 65_535).astype(np.uint16)
+    return np.minimum(np.bincount(cell, minlength=CELLS), 255).astype(np.uint8)
 
 
 def sketches(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -202,9 +211,9 @@ def possible(pairs: DataFrame, sketched: DataFrame, share: float = NEAR) -> Data
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(text.string_buffers(batch.column(c))[0].tobytes(), np.uint16).reshape(-1, CELLS) for c in ("x", "y"))
+            x, y = (text.string_buffers(batch.column(c))[0].reshape(-1, CELLS) for c in ("x", "y"))
             limit = np.floor(share * np.maximum(batch.column("m").to_numpy(), batch.column("n").to_numpy()))
-            take = pa.array(np.flatnonzero(np.abs(x.astype(np.int32) - y).sum(1) <= 2 * GRAM * limit))
+            take = pa.array(np.flatnonzero(np.abs(x.astype(np.int16) - y).sum(1) <= 2 * GRAM * limit))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
     both = pairs.join(sketched.toDF("a", "m", "x"), "a").join(sketched.toDF("b", "n", "y"), "b")
@@ -239,8 +248,8 @@ def edit_distance(a: bytes, b: bytes) -> int:
     return score
 
 
-def within(a: bytes, b: bytes, limit: int) -> bool:
-    """Whether the Levenshtein distance is at most ``limit``, by bit-parallel columns of a diagonal band (Hyyrö)."""
+def _stripped(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    """The longer and the shorter text without their common start and end."""
     if len(a) < len(b):
         a, b = b, a
     same = next((i for i in range(0, len(b), 64) if a[i : i + 64] != b[i : i + 64]), len(b))
@@ -250,11 +259,22 @@ def within(a: bytes, b: bytes, limit: int) -> bool:
     tail = next((i for i in range(0, len(b) - 63, 64) if a[len(a) - i - 64 : len(a) - i] != b[len(b) - i - 64 : len(b) - i]), len(b) // 64 * 64)
     while tail < len(b) and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
+def _settled(a: bytes, b: bytes, limit: int) -> bool | None:
+    """Whether the distance of stripped texts is at most ``limit``, where their lengths tell."""
     if len(a) - len(b) > limit or a and not limit:
         return False
-    if len(a) <= limit:
-        return True
+    return True if len(a) <= limit else None
+
+
+def within(a: bytes, b: bytes, limit: int) -> bool:
+    """Whether the Levenshtein distance is at most ``limit``, by bit-parallel columns of a diagonal band (Hyyrö)."""
+    a, b = _stripped(a, b)
+    known = _settled(a, b, limit)
+    if known is not None:
+        return known
     if len(a) <= 2 * limit + 1:
         return edit_distance(a, b) <= limit
     masks: dict[int, int] = {}
@@ -286,6 +306,112 @@ def within(a: bytes, b: bytes, limit: int) -> bool:
     return score <= limit
 
 
+def _banded(group: list[tuple[int, bytes, bytes]]) -> np.ndarray:
+    """``within`` of many stripped texts (limit, a, b) at once; the first of each is longer than the band."""
+    reach = max(limit for limit, _, _ in group)
+    width = 2 * reach + 1
+    words = -(-width // 64)
+    n, m = (np.array([len(g[k]) for g in group]) for k in (1, 2))
+    limits = np.array([g[0] for g in group])
+    rows, columns = np.full((len(group), reach + n.max() + 64 * words), _END, np.uint8), np.full((len(group), m.max()), _END, np.uint8)
+    for k, (_, a, b) in enumerate(group):
+        rows[k, reach : reach + len(a)] = np.frombuffer(a, np.uint8)
+        columns[k, : len(b)] = np.frombuffer(b, np.uint8)
+    full = np.full((words, 1), 2**64 - 1, np.uint64)
+    full[-1] = (1 << width - 64 * (words - 1)) - 1
+    first = np.array([((1 << width) - 1 & ~((1 << reach) - 1)) >> 64 * w & 2**64 - 1 for w in range(words)], np.uint64)
+    out = np.zeros(len(group), np.bool_)
+    own, one = np.arange(len(group)), np.uint64(1)
+    plus, minus = np.repeat(first[:, None], len(own), 1), np.zeros((words, len(own)), np.uint64)
+    score, most, turn = np.full(len(own), reach), 2 * reach + m - n, n - reach
+    top_word, top_bit = (width - 1) >> 6, np.uint64((width - 1) & 63)
+    for i in range(int(m.max())):
+        if i % 32 == 0:
+            done = m <= i
+            out[own[done]] = score[done] <= limits[done]
+            stay = ~done & ((score <= most) | (i > turn))
+            if not stay.any():
+                return out
+            if stay.mean() < 0.8:
+                own, m, n, score, most, turn, limits = (x[stay] for x in (own, m, n, score, most, turn, limits))
+                plus, minus, rows, columns = np.ascontiguousarray(plus[:, stay]), np.ascontiguousarray(minus[:, stay]), rows[stay], columns[stay]
+        equal = np.packbits(rows[:, i : i + 64 * words] == columns[:, i : i + 1], axis=1, bitorder="little").view(np.uint64)
+        equal = equal.T & full
+        zero = equal & plus
+        carry = np.zeros(zero.shape[1], np.uint64)
+        for w in range(words):
+            total = zero[w] + plus[w]
+            over = total < plus[w]
+            total += carry
+            over |= total < carry
+            zero[w] = total
+            carry = over.astype(np.uint64)
+        zero ^= plus
+        zero |= equal
+        zero |= minus
+        zero &= full
+        up = zero | plus
+        np.invert(up, out=up)
+        up |= minus
+        up &= full
+        down = zero & plus
+        live = i < m
+        early = live & (i < turn)
+        score += early & ((zero[top_word] >> top_bit & one) == 0)
+        late = np.flatnonzero(live & (i >= turn))
+        if len(late):
+            place = width - 2 - (i - turn[late])
+            word, bit = place >> 6, (place & 63).astype(np.uint64)
+            score[late] += (up[word, late] >> bit & one).astype(np.int64) - (down[word, late] >> bit & one).astype(np.int64)
+        shifted = zero >> one
+        shifted[:-1] |= zero[1:] << np.uint64(63)
+        plus = shifted | up
+        np.invert(plus, out=plus)
+        plus |= down
+        plus &= full
+        minus = shifted & up
+    out[own] = score <= limits
+    return out
+
+
+def _counts_allow(a: bytes, b: bytes, limit: int) -> bool:
+    """Whether the numbers of each byte let the distance be at most ``limit``."""
+    extra = np.subtract(*(np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in (a, b)))
+    return max(extra[extra > 0].sum(), -extra[extra < 0].sum()) <= limit
+
+
+def near_all(one: list[bytes], two: list[bytes], share: float = NEAR) -> np.ndarray:
+    """``near`` of each pair; the bands of many texts are worked on at once if they are narrow."""
+    out, left = np.zeros(len(one), np.bool_), []
+    for k, (a, b) in enumerate(zip(one, two, strict=True)):
+        limit = int(share * max(len(a), len(b)))
+        if abs(len(a) - len(b)) > limit or not _counts_allow(a, b, limit):
+            continue
+        if limit > WIDE:
+            out[k] = near(a, b, share)
+            continue
+        a, b = _stripped(a, b)
+        known = _settled(a, b, limit)
+        if known is None:
+            left.append((limit, len(b), a, b, k))
+        else:
+            out[k] = known
+    left.sort(key=lambda x: x[:2])
+    at = 0
+    while at < len(left):
+        # bands of much the same width
+        to = bisect_right(left, left[at][0] * 5 // 4 + 4, at, min(at + TOGETHER, len(left)), key=lambda x: x[0])
+        some = left[at:to]
+        at, reach = to, some[-1][0]
+        for limit, _, a, b, k in some:
+            if len(a) <= 2 * reach + 1:
+                out[k] = edit_distance(a, b) <= limit
+        some = [x for x in some if len(x[2]) > 2 * reach + 1]
+        if some:
+            out[[x[4] for x in some]] = _banded([(limit, a, b) for limit, _, a, b, _ in some])
+    return out
+
+
 def _rising(values: list[int]) -> list[int]:
     """Indices of a longest rising subsequence."""
     ends: list[int] = []
@@ -318,9 +444,7 @@ def near(a: bytes, b: bytes, share: float = NEAR) -> bool:
         return False
     if a == b:
         return True
-    counts = (np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in (a, b))
-    extra = np.subtract(*counts)
-    if max(extra[extra > 0].sum(), -extra[extra < 0].sum()) > limit:
+    if not _counts_allow(a, b, limit):
         return False
     x, y = text.words_of(a), text.words_of(b)
     hx, ix, nx = np.unique(x.hash, return_index=True, return_counts=True)
@@ -358,9 +482,9 @@ def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR) -> DataFram
     texts = spark.table(name)
 
     def check(batches):
-        for batch in batches:
+        for batch in text.gathered(batches, "x", STRETCH):
             one, two = batch.column("x"), batch.column("y")
-            take = pa.array([i for i in range(batch.num_rows) if near(one[i].as_py().encode(), two[i].as_py().encode(), share)], pa.int64())
+            take = pa.array(np.flatnonzero(near_all([x.encode() for x in one.to_pylist()], [y.encode() for y in two.to_pylist()], share)))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
@@ -382,6 +506,8 @@ def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS, gap:
     # rows of copies are combined before the shuffle
     table = common.written(keys_of(texts, share, bands, gap).groupBy("band", "node", "whole").agg(F.min("size").alias("size")), "keys")
     rows = common.written(agreeing(table.filter("not whole")), "agreeing")
+    prints = common.written(table.filter("whole").groupBy("node").agg(F.min("band").alias("fingerprint")), "prints")
+    common.discard(table)
     sketched = common.written(sketches(texts, common.written(rows.select("node").distinct(), "nodes")), "sketches")
     tried = common.written(stars(rows, share), "stars")
     first = verified(common.written(possible(tried, sketched, share), "possible"), texts, share)
@@ -389,7 +515,6 @@ def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS, gap:
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = common.written(possible(rest.join(known, ["a", "b"], "left_anti"), sketched, share), "possible")
     roots = graph.components(first.union(verified(rest, texts, share)))
-    prints = table.filter("whole").groupBy("node").agg(F.min("band").alias("fingerprint"))
     rows = source.select("doc_id", "node").join(prints, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return rows.join(groups, "root", "left").select("doc_id", "fingerprint", "group_id", "group_size")

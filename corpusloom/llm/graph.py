@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: neighbours below a node, and the node, go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.toDF("a", "b"))
-        now = common.written(small.distinct(), "cc")
+        last, now = now, common.written(small.distinct(), "cc")
+        common.discard(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -325,6 +325,22 @@ def test_within_a_limit_against_all_distances():
             assert edits.within(a, bytes(b), limit) == edits.within(bytes(b), a, limit) == (d <= limit)
 
 
+def test_bands_of_many_texts_against_all_distances():
+    rng = random.Random(19)
+    one, two = [], []
+    for _ in range(1_200):
+        a = bytes(rng.choice(b"abcde fgh") for _ in range(rng.choice([0, 5, 30, 200, 900, 1_500])))
+        b = bytearray(a)
+        for _ in range(rng.randrange(1 + len(a) // 8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = bytes(rng.choice(b"abcde fgh") for _ in range(rng.randrange(2)))
+        one.append(a)
+        two.append(bytes(b))
+    expected = [edits.edit_distance(a, b) <= int(0.05 * max(len(a), len(b))) for a, b in zip(one, two, strict=True)]
+    assert edits.near_all(one, two).tolist() == edits.near_all(two, one).tolist() == expected
+    assert 200 < sum(expected) < 1_000
+
+
 def test_near_without_words_that_occur_once():
     rng = random.Random(16)
     a = " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(2_000)).encode()
