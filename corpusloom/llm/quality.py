@@ -12,7 +12,8 @@ Defined results
     * a null language is the language ``und``; a null ``doc_id`` is scored like any other row
     * repeated rows are scored one by one and get equal results; ties at a fence stay
     * no trusted text (no labels, an empty table): perplexities are null and every document stays
-    * columns of other names pass through ``quality_filter`` untouched; ``quality_scores`` returns its own
+    * columns of other names, whatever they are, pass through ``quality_filter`` untouched; ``quality_scores``
+      returns its own; very long texts are scored whole
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common, text
@@ -33,6 +34,8 @@ UPPER = 4.0
 PRIOR_BYTES = 40
 #: Rows of all orders together up to which the model is broadcast; beyond it the documents' n-grams are joined.
 MODEL_ROWS = 12_000_000
+#: Bins of the histogram of perplexities in a unit of their logarithm.
+STEPS = 4_096
 
 _COUNTS = "lang string, gram long, n long"
 
@@ -147,10 +150,14 @@ class Model:
     def __init__(self, model: DataFrame, order: int) -> None:
         self.order = order
         self.tables: dict[tuple[str, int, str], tuple[np.ndarray, np.ndarray]] = {}
-        for lang, m, kind in map(tuple, model.select("lang", "m", "kind").distinct().collect()):
-            part = model.filter((F.col("lang") == lang) & (F.col("m") == m) & (F.col("kind") == kind)).select("gram", F.col("p").cast("float")).toPandas()
-            at = np.argsort(part.gram.to_numpy(), kind="stable")
-            self.tables[lang, m, kind] = part.gram.to_numpy()[at], part.p.to_numpy()[at]
+        number = (F.col("m") * 2 + (F.col("kind") == "g").cast("int")).cast("tinyint").alias("number")
+        for (lang,) in model.select("lang").distinct().collect():
+            part = model.filter(F.col("lang") == lang).select(number, "gram", "p").toPandas()
+            order_ = np.lexsort((part.gram.to_numpy(), part.number.to_numpy()))
+            numbers, grams, p = (part[c].to_numpy()[order_] for c in ("number", "gram", "p"))
+            for k in np.unique(numbers).tolist():
+                own = slice(*np.searchsorted(numbers, (k, k + 1)))
+                self.tables[lang, k // 2, "pg"[k % 2]] = grams[own], p[own]
 
     def knows(self, lang: str) -> bool:
         return (lang, 1, "p") in self.tables
@@ -225,6 +232,22 @@ def _score_joined(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
     return keyed.select("key", "doc_id", "lang").join(sums, "key", "left").select("key", "doc_id", "lang", F.coalesce("grams", F.lit(0)).alias("grams"), "perplexity")
 
 
+def fences_of(scores: DataFrame, upper: float) -> DataFrame:
+    """(lang, median, fence) from a histogram of the logarithms of perplexities with ``STEPS`` bins a unit.
+
+    Counts are combined before the shuffle and a language has as many bins at most as perplexities of bytes need,
+    so no task gets all of a language. A quartile is known to its bin; the edges are taken that make the fence
+    higher, so documents at the exact fence stay.
+    """
+    bins = scores.filter("perplexity is not null").groupBy("lang", F.floor(F.log("perplexity") * STEPS).alias("bin")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang")
+    cumulated = bins.select("lang", "bin", F.sum("n").over(own.orderBy("bin")).alias("upto"), F.sum("n").over(own).alias("all"))
+    low, middle, high = (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) for q in (0.25, 0.5, 0.75))
+    found = cumulated.groupBy("lang").agg(low.alias("low"), middle.alias("middle"), high.alias("high"))
+    edge = lambda c, more: F.exp((F.col(c) + more) / STEPS)
+    return found.select("lang", edge("middle", 0.5).alias("median"), (edge("middle", 1) + upper * (edge("high", 1) - edge("low", 0))).alias("fence"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper: float = UPPER, prior_bytes: int = PRIOR_BYTES, model_rows: int = MODEL_ROWS) -> DataFrame:
     """(key, doc_id, lang, perplexity, adjusted, fence, keep), one row for each row of ``docs``.
 
@@ -234,11 +257,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper
     source = docs.select(common.row_key("doc_id", "text", "lang").alias("key"), "doc_id", "text", "lang")
     trusted = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).filter("q = 1").select("doc_id")
     counts = common.written(gram_counts(source.join(common.small(trusted), "doc_id", "left_semi"), order), "kn-counts")
-    model = common.written(kneser_ney(counts, order), "kn-model")
+    # probabilities have one precision, whether the model is broadcast or joined
+    model = common.written(kneser_ney(counts, order).withColumn("p", F.col("p").cast("float")), "kn-model")
     scorer = _score_local if model.count() <= model_rows else _score_joined
     scores = common.written(scorer(source, model, order), "quality")
-    quantiles = scores.groupBy("lang").agg(F.percentile("perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    fences = quantiles.select("lang", F.col("q")[1].alias("median"), (F.col("q")[1] + upper * (F.col("q")[2] - F.col("q")[0])).alias("fence"))
+    fences = common.written(fences_of(scores, upper), "fences")
     n = F.col("grams")
     adjusted = F.exp((n * F.log("perplexity") + prior_bytes * F.log("median")) / (n + prior_bytes)).alias("adjusted")
     keep = F.coalesce(F.col("adjusted") <= F.col("fence"), F.lit(True)).alias("keep")
