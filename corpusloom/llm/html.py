@@ -11,12 +11,15 @@ Defined results
     * unclosed elements end where their parent ends; stray end tags are ignored
     * only block elements (nav, div, p, li, ...) are cut, so sentences keep their links and emphasis; the roots
       (html, head, body) are never template themselves
+    * very long or deep pages are parsed whole, in time that grows with their length; an empty table gives an
+      empty result; columns of other names aren't read; ties don't arise
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +67,13 @@ def parse(source: str) -> Element:
     """Tree of the page; text is kept with single spaces."""
     root = Element("")
     stack = [root]
+    # depth of the nearest block at each depth, and how many elements of each tag are open
+    block, opened = [0], Counter()
 
     def close() -> None:
         done = stack.pop()
+        block.pop()
+        opened[done.tag] -= 1
         done.seal()
         stack[-1].hash.update(done.hash.to_bytes(8, "little"))
 
@@ -83,23 +90,19 @@ def parse(source: str) -> Element:
             continue
         tag = tag.lower()
         if m[2]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    while len(stack) > depth:
-                        close()
-                    break
+            if opened[tag]:
+                while stack[-1].tag != tag:
+                    close()
+                close()
             continue
         closes = _CLOSES.get(tag)
         if closes and stack[-1].tag in closes:
             close()
         elif tag in _PARAGRAPH:
-            for depth in range(len(stack) - 1, max(0, len(stack) - 6), -1):
-                if stack[depth].tag == "p":
-                    while len(stack) > depth:
-                        close()
-                    break
-                if stack[depth].tag in _BLOCK:
-                    break
+            depth = block[-1]
+            if stack[depth].tag == "p":
+                while len(stack) > depth:
+                    close()
         attributes = m[4]
         element = Element(tag, _SPACE.sub(" ", attributes).strip(" /"))
         stack[-1].children.append(element)
@@ -107,7 +110,9 @@ def parse(source: str) -> Element:
             element.seal()
             stack[-1].hash.update(element.hash.to_bytes(8, "little"))
         else:
+            block.append(len(stack) if tag in _BLOCK else block[-1])
             stack.append(element)
+            opened[tag] += 1
     while len(stack) > 1:
         close()
     root.seal()

@@ -502,6 +502,16 @@ def test_templates_go_and_content_stays(spark):
         assert out[10].text.startswith("Home\nShop & more") and out[11].text.endswith("Contact") and out[12].text == ""
 
 
+def test_paragraphs_end_at_blocks_at_any_depth():
+    inline = "".join(f"<{t}>" for t in ("b", "i", "em", "u", "s", "q", "small", "span") * 3)
+    root = html.parse(f"<body><p>one{inline}two<div>three</div>")
+    (body,) = root.children
+    assert [c.tag for c in body.children] == ["p", "div"]
+    began = time.process_time()
+    html.parse("<b>" * 50_000 + "<div></div></i>" * 50_000)
+    assert time.process_time() - began < 20
+
+
 def test_subtrees_recurring_against_brute_force(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     counts, sizes, own = Counter(), Counter(), {}
@@ -658,6 +668,16 @@ def test_perplexity_by_hand(spark, rows):
             assert math.isclose(r.perplexity, math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)), rel_tol=1e-4)
 
 
+def test_fences_by_quartiles(spark):
+    rng = random.Random(20)
+    rows = [(lang, math.exp(rng.gauss(1.5, 0.4))) for lang in ("en", "de") for _ in range(2_001)] + [("fr", 7.0)] * 5 + [("es", None)]
+    found = {r.lang: r for r in quality.fences_of(spark.createDataFrame(rows, "lang string, perplexity double"), 4.0).collect()}
+    for lang in ("en", "de"):
+        low, middle, high = np.quantile([p for x, p in rows if x == lang], [0.25, 0.5, 0.75])
+        assert math.isclose(found[lang].median, middle, rel_tol=1e-3) and math.isclose(found[lang].fence, middle + 4 * (high - low), rel_tol=3e-3)
+    assert set(found) == {"en", "de", "fr"} and 7.0 <= found["fr"].fence < 7.02
+
+
 def test_labelled_junk_goes_and_clean_documents_stay(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     rows = quality.quality_scores(docs, labels).join(labels, "doc_id").collect()
