@@ -467,9 +467,10 @@ def near(a: bytes, b: bytes, share: float = NEAR) -> bool:
     return True
 
 
-def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR, likely: bool = False) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose texts, of ``docs`` (node, text), are near.
 
+    ``likely`` pairs are tried one by one, as an upper bound soon accepts those that are near; either way is exact.
     Texts are bucketed by node once; of the two joins only the pairs and the first texts are shuffled.
     """
     spark = pairs.sparkSession
@@ -482,9 +483,11 @@ def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR) -> DataFram
     texts = spark.table(name)
 
     def check(batches):
-        for batch in text.gathered(batches, "x", STRETCH):
+        for batch in batches if likely else text.gathered(batches, "x", STRETCH):
             one, two = batch.column("x"), batch.column("y")
-            take = pa.array(np.flatnonzero(near_all([x.encode() for x in one.to_pylist()], [y.encode() for y in two.to_pylist()], share)))
+            x, y = ([t.encode() for t in c.to_pylist()] for c in (one, two))
+            found = [near(p, q, share) for p, q in zip(x, y, strict=True)] if likely else near_all(x, y, share)
+            take = pa.array(np.flatnonzero(found))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
@@ -510,7 +513,7 @@ def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS, gap:
     common.discard(table)
     sketched = common.written(sketches(texts, common.written(rows.select("node").distinct(), "nodes")), "sketches")
     tried = common.written(stars(rows, share), "stars")
-    first = verified(common.written(possible(tried, sketched, share), "possible"), texts, share)
+    first = verified(common.written(possible(tried, sketched, share), "possible"), texts, share, True)
     rest = candidates(rows, graph.components(first), share)
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = common.written(possible(rest.join(known, ["a", "b"], "left_anti"), sketched, share), "possible")
