@@ -1,69 +1,30 @@
-"""Links, text, tags, charsets and formats of HTML pages as Spark columns."""
+"""Text, tags, charsets and formats of HTML pages as Spark columns; links are read by ``page``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINK_TAG = r"(?i)<(?:a|area|link)\s[^>]*>"
-NOFOLLOW = r"""(?i)\srel\s*=\s*(?:"nofollow"|'nofollow'|nofollow[\s>])"""
-HREF = r'(?i)\shref\s*=\s*"([^"]*)"'
-SRC = r'(?i)\ssrc\s*=\s*"([^"]*)"'
-ACTION = r'(?i)\saction\s*=\s*"([^"]*)"'
-MEDIA_TAG = r"(?i)<(?:audio|embed|iframe|img|input|source|track|video)\s[^>]*>"
-FORM_TAG = r"(?i)<form\s[^>]*>"
-SCRIPT_TAG = r"(?i)<script\s[^>]*>"
-META_NOFOLLOW = r'(?i)<meta\s[^>]*content\s*=\s*"nofollow"'
-BASE = r'(?i)<base\s[^>]*href\s*=\s*"([^"]*)"'
-ONCLICK = r"(?i)onclick\s*=\s*\"[^\"]*location[.]href\s*=\s*'\s*([^']*?)\s*'"
-SCRIPT_HREF = r"href\s*=\s*['\"]([^'\";]+)['\"]"
 PLAIN_URL = r"https?://[^\s<>\"')\]}]+"
 CHARSET = r"(?i)<meta\s[^>]*charset\s*=\s*[\"']?([a-zA-Z0-9_-]+)"
 TAG = r"<([a-zA-Z][a-zA-Z0-9]*)[\s/>]"
 
 CATEGORIES = {
-    "root": "html",
-    "metadata": "base head link meta style title",
-    "sectioning": "body address article aside footer header h1 h2 h3 h4 h5 h6 hgroup main nav section search",
-    "text_content": "blockquote dd div dl dt figcaption figure hr li menu ol p pre ul",
-    "inline": "a abbr b bdi bdo br cite code data dfn em i kbd mark q rp rt ruby s samp small span strong sub sup time u var wbr",
-    "multimedia": "area audio img map track video",
-    "embedded": "embed iframe object picture portal source svg math",
-    "scripting": "canvas noscript script",
-    "edits": "del ins",
+    "basic": "body br h1 h2 h3 h4 h5 h6 head hr html p title",
+    "formatting": "abbr acronym address b bdi bdo big blockquote center cite code del dfn em font i ins kbd mark meter pre progress q rp rt ruby s samp small strike strong sub sup template time tt u var wbr",
+    "form": "button datalist fieldset form input label legend optgroup option output select textarea",
+    "frame": "frame frameset iframe noframes",
+    "image": "area canvas figcaption figure img map picture svg",
+    "audio_video": "audio source track video",
+    "link": "a link nav",
+    "list": "dd dir dl dt li menu ol ul",
     "table": "caption col colgroup table tbody td tfoot th thead tr",
-    "form": "button datalist fieldset form input label legend meter optgroup option output progress select textarea",
-    "interactive": "details dialog summary",
+    "style": "article aside data details dialog div footer header hgroup main search section span style summary",
+    "meta": "base basefont meta",
+    "programming": "applet embed noscript object param script",
 }
 
 
-def tags(html: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-
-
-def values(html: Column, tag: str, attribute: str) -> Column:
-    """Different values of an attribute of the tags that a pattern finds."""
-    found = F.transform(tags(html, tag), lambda t: F.regexp_extract(t, attribute, 1))
-    return F.array_distinct(F.filter(found, lambda x: x != ""))
-
-
-def hrefs(html: Column) -> Column:
-    """Different link targets of a page, but those of links marked nofollow."""
-    kept = F.filter(tags(html, LINK_TAG), lambda t: ~t.rlike(NOFOLLOW))
-    return F.array_distinct(F.filter(F.transform(kept, lambda t: F.regexp_extract(t, HREF, 1)), lambda x: x != ""))
-
-
-def follows(html: Column) -> Column:
-    """Whether the page's robots meta tag lets links be followed."""
-    return ~html.rlike(META_NOFOLLOW)
-
-
-def base_of(url: Column, html: Column) -> Column:
-    """The page's base element, if there is one, else its url."""
-    found = F.regexp_extract(html, BASE, 1)
-    return F.when(found != "", found).otherwise(url)
-
-
 def text_of(html: Column) -> Column:
     """Text without comments, scripts, styles and tags, with single spaces."""
     bare = F.regexp_replace(html, r"(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
@@ -81,8 +42,11 @@ def charset(html: Column) -> Column:
 
 
 def looks_like_html(text: Column) -> Column:
-    """A doctype at the start, or an html element that is opened and closed in this order."""
-    return text.rlike(r"^\s*<!(?:DOCTYPE|doctype) html") | ((F.instr(text, "<html") > 0) & (F.instr(text, "</html>") > F.instr(text, "<html")))
+    """Case counts: a doctype at the very start; or ``<html`` before ``</html>``; or, without an end, ``<html`` at
+    the very start or after a doctype."""
+    doctype, start, end = (F.instr(text, x) for x in ("<!DOCTYPE html", "<html", "</html>"))
+    opened = F.when(end > 0, (start > 0) & (start < end)).otherwise((start == 1) | ((doctype > 0) & (doctype < start)))
+    return (doctype == 1) | opened
 
 
 def category(tag: Column) -> Column:

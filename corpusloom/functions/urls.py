@@ -1,9 +1,19 @@
-"""URL and crawl-depth functions as Spark columns (no Python per row)."""
+"""URL and crawl-depth functions as Spark columns.
+
+Parts of urls are regular expressions in the JVM. Normal forms, resolution and registrable domains follow
+public standards that no built-in has; they run in Python on the different values of Arrow batches.
+"""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.functions import suffixes, weburl
 
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
@@ -11,13 +21,6 @@ HOST = AUTHORITY + r"(?:[^/?#@]*@)?([^/?#:]*)"
 PORT = AUTHORITY + r"(?:[^/?#@]*@)?[^/?#:]*:([0-9]+)"
 PATH = AUTHORITY + r"[^/?#]*([^?#]*)"
 QUERY = r"^[^?#]*[?]([^#]*)"
-#: Public suffixes of two labels that are known here; other hosts are taken to have one-label suffixes.
-SUFFIXES = "co.uk org.uk ac.uk gov.uk me.uk com.au net.au org.au edu.au co.jp ne.jp or.jp ac.jp co.nz com.br com.cn com.mx com.tr co.in co.kr co.za com.ar com.sg com.tw com.hk co.il".split()
-_SUFFIX = "|".join(s.replace(".", "[.]") for s in SUFFIXES)
-DOMAIN = rf"([^.]+[.](?:{_SUFFIX}|[^.]+))$"
-ADDRESS = r"^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\[.*\])$"
-
-
 def strip_fragment(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
@@ -86,9 +89,34 @@ def last_extension(url: Column) -> Column:
     return _part(F.coalesce(file_name(url), F.lit("")), r"[.]([^.]+)$")
 
 
-def domain(host_: Column) -> Column:
-    """Registrable domain; addresses have none."""
-    return F.when(~host_.rlike(ADDRESS), _part(host_, DOMAIN))
+def _mapped(values: pd.Series, function) -> pd.Series:
+    """``function`` of each value, called once for different ones; nulls stay."""
+    codes, unique = pd.factorize(values)
+    found = pd.Series([*map(function, unique), None], dtype=object)
+    return found.take(codes).reset_index(drop=True)
+
+
+@lru_cache(maxsize=4)
+def _domains(path: str | None):
+    known = suffixes.rules(path)
+
+    @F.pandas_udf(T.StringType())
+    def found(host_: pd.Series) -> pd.Series:
+        return _mapped(host_, lambda h: suffixes.registrable(h, known))
+
+    return found
+
+
+def domain(host_: Column, path: str | None = None) -> Column:
+    """Registrable domain by the public suffix list (``path``, else the one of Spark's distribution); addresses and
+    suffixes have none."""
+    return _domains(path)(host_)
+
+
+@F.pandas_udf(T.StringType())
+def normal(url: pd.Series) -> pd.Series:
+    """Normal form of absolute urls by the URL standard; null where there is none."""
+    return _mapped(url, weburl.normal)
 
 
 def origin(url: Column) -> Column:
@@ -102,22 +130,10 @@ def same_host(a: Column, b: Column) -> Column:
     return host(a) == host(b)
 
 
-def resolve(base: Column, target: Column) -> Column:
-    """Target seen from ``base``: absolute, scheme-relative, root-relative, query, fragment or relative path.
-
-    Dot segments at the start of a relative path are dropped.
-    """
-    bare = F.regexp_replace(base, "[?#].*$", "")
-    root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.when(path(base) == "", F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(bare, "[^/]*$", ""))
-    return (
-        F.when(target.rlike(SCHEME), target)
-        .when(target.startswith("//"), F.concat(F.regexp_extract(base, SCHEME, 1), F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(root, target))
-        .when((target == "") | target.startswith("#"), F.concat(strip_fragment(base), target))
-        .when(target.startswith("?"), F.concat(bare, target))
-        .otherwise(F.concat(folder, F.regexp_replace(target, r"^([.]/)+", "")))
-    )
+@F.pandas_udf(T.StringType())
+def resolve(base: pd.Series, target: pd.Series) -> pd.Series:
+    """Targets seen from ``base``, by the URL standard; null where the result isn't a url."""
+    return pd.Series([weburl.resolve(b, t) for b, t in zip(base, target, strict=True)], dtype=object)
 
 
 def depth(on_website, distance, total) -> Column:

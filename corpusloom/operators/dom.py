@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import terms
+from corpusloom.functions import markup, terms
+from corpusloom.operators.order import cut
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -82,28 +82,35 @@ def scored(table: DataFrame, weights: DataFrame) -> DataFrame:
     return table.join(sums, ["page_id", "node"], "left")
 
 
-def _cutter(df: DataFrame):
-    """Cuts the lineage of each level in the session's checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return lambda level: level.checkpoint()
+def may_be_banner(tag: Column) -> Column:
+    """Tags whose text may be that of a banner: some containers, and all but programs and containers otherwise."""
+    kind = markup.category(tag)
+    return tag.isin("p", "a", "div", "title", "dialog", "details") | ~kind.isin("programming", "style")
 
 
-def banners(table: DataFrame, threshold: float, keep: float, levels: int = 12) -> DataFrame:
+def leaves(table: DataFrame) -> DataFrame:
+    """Nodes without children whose parent isn't a program or a container (there text says little by itself)."""
+    parents = table.filter("parent is not null").select("page_id", F.col("parent").alias("node")).distinct()
+    above = table.select("page_id", F.col("node").alias("parent"), markup.category(F.col("tag")).alias("_kind"))
+    found = table.join(parents, ["page_id", "node"], "left_anti").join(above, ["page_id", "parent"], "left")
+    return found.filter(F.coalesce(~F.col("_kind").isin("programming", "style"), F.lit(True))).select(*table.columns)
+
+
+def banners(table: DataFrame, threshold: float, keep: float, by_tag: bool = False) -> DataFrame:
     """(page_id, node): the banner of each page that has one.
 
     From the leaves that score ``threshold`` the pages' survivors climb to their parents, level by level, while
     a page has more than one and a parent still scores ``threshold``; the best of the last level is the banner
-    if it scores ``keep``. ``table`` has page_id, node, parent, score.
+    if it scores ``keep``. ``table`` has page_id, node, parent, score, and tag with ``by_tag``, which lets only leaves
+    of ``leaves`` start and only parents of ``may_be_banner`` be climbed to. Every round climbs a level of the tree.
     """
-    parents = table.filter("parent is not null").select("page_id", "parent").distinct().withColumnRenamed("parent", "node")
-    cut = _cutter(table)
-    level = cut(table.join(parents, ["page_id", "node"], "left_anti").filter(F.col("score") >= threshold).select("page_id", "node", "parent", "score"))
-    for _ in range(levels):
+    if by_tag:
+        start, table = leaves(table), table.filter(may_be_banner(F.col("tag")))
+    else:
+        parents = table.filter("parent is not null").select("page_id", "parent").distinct().withColumnRenamed("parent", "node")
+        start = table.join(parents, ["page_id", "node"], "left_anti")
+    level = cut(start.filter(F.col("score") >= threshold).select("page_id", "node", "parent", "score"))
+    while True:
         if not level.groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
             break
         alone = F.count("*").over(Window.partitionBy("page_id"))

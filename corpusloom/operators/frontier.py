@@ -26,7 +26,39 @@ def in_budget(depth: Column, kind: str, on_website: int = 0, limit: int = 0) ->
     return F.lit(limit == 0) | (total < limit)
 
 
-def budget_kind(row: dict[str, str] | None = None) -> Column:
+def with_budgets(frontier: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``frontier`` (.., origin, depth) with ``in_budget`` by the budget row of each origin, else the default's.
+
+    ``budgets`` (origin, depth_on_website, depth) has the default under a null origin, without which origins that have
+    no row are out of budget. The join hashes on origin.
+    """
+    own = budgets.filter("origin is not null").dropDuplicates(["origin"]).select("origin", budget_kind().alias("_kind"), F.col("depth_on_website").alias("_site"), F.col("depth").alias("_limit"))
+    first = budgets.filter("origin is null").select(budget_kind().alias("kind"), "depth_on_website", "depth").first()
+    d, site, limit = F.col("depth"), F.coalesce("_site", F.lit(0)), F.coalesce("_limit", F.lit(0))
+    on_site = (site == 0) | (d["depth_on_website"] < site)
+    kinds = {
+        "single": (d["depth_on_website"] == 0) & (d["distance_to_seed"] == 0) & (d["total_distance_to_seed"] == 0),
+        "seed_only": (d["distance_to_seed"] == 0) & on_site,
+        "normal": on_site & (d["distance_to_seed"] <= limit),
+        "absolute": (limit == 0) | (d["total_distance_to_seed"] < limit),
+    }
+    rows = frontier.join(own, "origin", "left")
+    default = F.lit(False) if first is None else in_budget(d, first.kind, first.depth_on_website or 0, first.depth or 0)
+    result = F.when(F.col("_kind").isNull(), default)
+    for kind, condition in kinds.items():
+        result = result.when(F.col("_kind") == kind, condition)
+    return rows.withColumn("in_budget", result).drop("_kind", "_site", "_limit")
+
+
+def adds_value(frontier: DataFrame, guards: DataFrame) -> DataFrame:
+    """``frontier`` (.., origin, depth) with ``adds_value``: the origin isn't known to ``guards`` (origin, depth), or
+    the url is less deep than what was reserved there (fields in order); never without an origin."""
+    known = guards.groupBy("origin").agg(F.min("depth").alias("_least"))
+    found = F.when(F.col("origin").isNull(), False).otherwise(F.col("_least").isNull() | (F.col("depth") < F.col("_least")))
+    return frontier.join(known, "origin", "left").withColumn("adds_value", found).drop("_least")
+
+
+def budget_kind() -> Column:
     """Kind of a budget row by which of ``depth_on_website`` and ``depth`` are set."""
     site, limit = F.col("depth_on_website"), F.col("depth")
     return F.when(site.isNotNull() & limit.isNotNull(), "normal").when(site.isNotNull(), "seed_only").when(limit.isNotNull(), "absolute").otherwise("single")
@@ -43,16 +75,26 @@ def block_list(lines: list[str]) -> list[str]:
     return list(dict.fromkeys(kept))
 
 
-def robots_allow(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls`` (.., origin, path) with ``allowed``: the longest rule that is a prefix decides, allow on a tie.
+def robots_allow(urls: DataFrame, rules: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """``urls`` (.., origin, path) with ``allowed``: the longest rule that matches decides, allow on a tie.
 
-    Origins without rules allow everything. ``rules`` has origin, pattern, allow; the join hashes on origin.
+    A rule matches from the start of the path; ``*`` is any run of characters, ``$`` at the end the path's end. Empty
+    rules match nothing. Origins without rules allow everything, those of ``failed`` (origin), whose rules couldn't
+    be read, nothing. ``rules`` has origin, pattern, allow; the join hashes on origin.
     """
     keys = [c for c in urls.columns]
     hits = urls.join(rules.select("origin", "pattern", "allow"), "origin", "left")
-    strength = F.when(F.col("path").startswith(F.col("pattern")), F.struct(F.length("pattern").alias("size"), F.col("allow").alias("allow")))
+    body = F.regexp_replace("pattern", "[$]$", "")
+    literal = F.transform(F.split(body, "[*]"), lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    regex = F.concat(F.lit("^(?s)"), F.array_join(literal, ".*"), F.when(F.col("pattern").endswith("$"), "$").otherwise(""))
+    fits = F.when(F.col("pattern").contains("*") | F.col("pattern").endswith("$"), F.rlike("path", regex)).otherwise(F.col("path").startswith(F.col("pattern")))
+    strength = F.when(fits & (F.col("pattern") != ""), F.struct(F.length("pattern").alias("size"), F.col("allow").alias("allow")))
     best = hits.groupBy(*keys).agg(F.max(strength).alias("best"))
-    return best.select(*keys, F.coalesce(F.col("best.allow"), F.lit(True)).alias("allowed"))
+    out = best.select(*keys, F.coalesce(F.col("best.allow"), F.lit(True)).alias("allowed"))
+    if failed is None:
+        return out
+    bad = failed.select("origin").distinct().withColumn("_failed", F.lit(True))
+    return out.join(bad, "origin", "left").select(*keys, (F.col("allowed") & F.col("_failed").isNull()).alias("allowed"))
 
 
 def crawl_delay(robots: Column, config: Column, default: float = 1.0) -> Column:

@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import markup, urls
-
-
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, src, dst): different links of each page that may be followed, resolved, without self links."""
-    src = urls.strip_fragment(F.col("url")).alias("src")
-    rows = pages.filter(markup.follows(F.col("html"))).select("page_id", src, markup.base_of(F.col("url"), F.col("html")).alias("base"), F.explode(markup.hrefs(F.col("html"))).alias("href"))
-    dst = urls.strip_fragment(urls.resolve(F.col("base"), F.col("href")))
-    links = rows.select("page_id", "src", dst.alias("dst"))
-    return links.filter(F.col("dst") != F.col("src")).distinct()
+from corpusloom.functions import page, urls, weburl
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, method, dst): links by method; plain-text urls only where the others find none.
+    """(page_id, src, method, dst): different links of each page by method, in normal form.
 
-    Each method reads the page once; the result is a set.
+    Pages are read once, in Python, as attribute syntax and the URL standard need it. ``src`` is the page's url
+    without fragment. Plain-text urls are looked for only where the other methods find nothing; pages whose robots
+    tag forbids to follow links have none; so do targets that aren't urls.
     """
-    html, base = F.col("html"), markup.base_of(F.col("url"), F.col("html"))
-    found = {
-        "Href": markup.hrefs(html),
-        "Embedded": markup.values(html, markup.MEDIA_TAG, markup.SRC),
-        "Form": markup.values(html, markup.FORM_TAG, markup.ACTION),
-        "JavaScript": markup.values(html, markup.SCRIPT_TAG, markup.SRC),
-        "OnClick": F.array_distinct(F.regexp_extract_all(html, F.lit(markup.ONCLICK), F.lit(1))),
-        "JavaScriptEmbedded": F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), lambda s: F.regexp_extract_all(s, F.lit(markup.SCRIPT_HREF), F.lit(1))))),
-    }
 
-    def tag(values, method: str):
-        return F.transform(values, lambda x: F.struct(F.lit(method).alias("method"), x.alias("href")))
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for page_id, url, html in zip(pdf.page_id, pdf.url, pdf.html, strict=True):
+                if html is None:
+                    continue
+                follows, base, found = page.links(html)
+                if not follows:
+                    continue
+                here = weburl.resolve(url, base) if base is not None else None
+                here = here or url
+                if not found:
+                    found = [("PlainText", u) for u in page.plain_urls(page.text(html))]
+                src = weburl.normal(url)
+                for method, target in found:
+                    dst = weburl.resolve(here, target)
+                    if dst is not None:
+                        rows.append((page_id, None if src is None else src.partition("#")[0], method, dst))
+            yield pd.DataFrame(rows, columns=["page_id", "src", "method", "dst"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, src string, method string, dst string").distinct()
 
-    tagged = F.concat(*(tag(v, m) for m, v in found.items()))
-    plain = tag(F.array_distinct(markup.plain_urls(markup.text_of(html))), "PlainText")
-    rows = pages.filter(markup.follows(html)).select("page_id", base.alias("base"), F.explode(F.when(F.size(tagged) > 0, tagged).otherwise(plain)).alias("l"))
-    return rows.select("page_id", F.col("l.method").alias("method"), urls.resolve(F.col("base"), F.col("l.href")).alias("dst")).distinct()
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, src, dst): different hyperlinks of each page, without fragments and self links."""
+    found = extracted(pages).filter("method = 'Href'").select("page_id", "src", urls.strip_fragment(F.col("dst")).alias("dst"))
+    return found.filter(F.coalesce(F.col("dst") != F.col("src"), F.lit(True))).distinct()
 
 
 def classified(links: DataFrame) -> DataFrame:
@@ -55,10 +61,28 @@ def edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("src").alias("subject"), F.lit("links_to").alias("predicate"), F.col("dst").alias("object")).distinct().unionByName(origins)
 
 
-PREFIXES = {"links_to": ":links_to", "has_origin": ":has_origin", "has_seed": ":has_seed"}
+PREFIXES = {"": "http://example.org/crawl#", "o": "http://example.org/origin/", "ol": "http://example.org/label/", "rdfs": "http://www.w3.org/2000/01/rdf-schema#"}
 
 
-def turtle(graph: DataFrame) -> DataFrame:
-    """(line): one Turtle statement for each edge."""
-    value = F.when(F.col("predicate") == "has_origin", F.concat(F.lit('"'), "object", F.lit('"'))).otherwise(F.concat(F.lit("<"), "object", F.lit(">")))
-    return graph.select(F.concat(F.lit("<"), "subject", F.lit("> :"), "predicate", F.lit(" "), value, F.lit(" .")).alias("line"))
+def seeds(seeds_: DataFrame) -> DataFrame:
+    """Edges (origin, has_seed, url) of seed urls (url) that have an origin."""
+    url = F.col("url")
+    return seeds_.select(urls.origin(url).alias("subject"), F.lit("has_seed").alias("predicate"), url.alias("object")).filter("subject is not null").distinct()
+
+
+def turtle(graph: DataFrame, prefixes: bool = False) -> DataFrame:
+    """(line): one Turtle statement for each edge, after the prefix declarations if wanted.
+
+    Origins are names in the namespace ``o``; urls are written in angle brackets.
+    """
+    is_origin = F.col("predicate") == "has_origin"
+    from_origin = F.col("predicate") == "has_seed"
+    node = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    name = lambda c: F.concat(F.lit("o:"), c)
+    subject = F.when(from_origin, name(F.col("subject"))).otherwise(node(F.col("subject")))
+    value = F.when(is_origin, name(F.col("object"))).otherwise(node(F.col("object")))
+    lines = graph.select(F.concat(subject, F.lit(" :"), "predicate", F.lit(" "), value, F.lit(" .")).alias("line"))
+    if not prefixes:
+        return lines
+    head = graph.sparkSession.createDataFrame([(f"@prefix {k}: <{v}> .",) for k, v in PREFIXES.items()], "line string")
+    return head.union(lines)

