@@ -172,7 +172,7 @@ def _frequencies(hits: DataFrame, terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], names=["term", "df"])
 
     out = np.zeros(terms, np.int64)
-    found = common.in_python(hits.select("terms", "gaps"), count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    found = common.in_python(hits.select("terms", "gaps"), count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow().to_pandas()
     out[found.term] = found.df
     return out
 
@@ -216,7 +216,7 @@ def _svd(hits: DataFrame, shared, rank: int, terms: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(np.ascontiguousarray(total[some, i])) for i in range(width))], names=["term", *names])
 
         schema = "term int, " + ", ".join(f"{n} double" for n in names)
-        found = common.in_python(hits.select("terms", "gaps"), gathered, schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+        found = common.in_python(hits.select("terms", "gaps"), gathered, schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names)).toArrow().to_pandas()
         out = np.zeros((terms, width))
         out[found.term] = found[names].to_numpy()
         return out
@@ -307,7 +307,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     found: DataFrame | None = None
     for k in range(rounds):
         part = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k) if rounds > 1 else wanted
-        frame = part.toPandas()
+        frame = part.toArrow().to_pandas()
         bench = Benchmark(frame)
         some = [i for i, item in enumerate(bench.items) if len(item)]
         bench = Benchmark(frame.iloc[some])

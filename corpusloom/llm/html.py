@@ -212,7 +212,7 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE, broadcas
         return pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["page_id", "host", "text", "removed"])
 
     if template.count() <= broadcast:
-        shared = spark.sparkContext.broadcast(frozenset(template.toPandas().subtree.tolist()))
+        shared = spark.sparkContext.broadcast(frozenset(template.toArrow().column("subtree").to_pylist()))
 
         def cut(batches):
             for batch in batches:

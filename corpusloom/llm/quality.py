@@ -152,9 +152,10 @@ class Model:
         self.tables: dict[tuple[str, int, str], tuple[np.ndarray, np.ndarray]] = {}
         number = (F.col("m") * 2 + (F.col("kind") == "g").cast("int")).cast("tinyint").alias("number")
         for (lang,) in model.select("lang").distinct().collect():
-            part = model.filter(F.col("lang") == lang).select(number, "gram", "p").toPandas()
-            order_ = np.lexsort((part.gram.to_numpy(), part.number.to_numpy()))
-            numbers, grams, p = (part[c].to_numpy()[order_] for c in ("number", "gram", "p"))
+            part = model.filter(F.col("lang") == lang).select(number, "gram", "p").toArrow()
+            numbers, grams, p = (part.column(c).to_numpy() for c in ("number", "gram", "p"))
+            order_ = np.lexsort((grams, numbers))
+            numbers, grams, p = numbers[order_], grams[order_], p[order_]
             for k in np.unique(numbers).tolist():
                 own = slice(*np.searchsorted(numbers, (k, k + 1)))
                 self.tables[lang, k // 2, "pg"[k % 2]] = grams[own], p[own]
@@ -180,6 +181,7 @@ class Model:
 def _score_local(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Model(model, order))
+    common.release()
 
     def score(batches):
         scorer: Model = shared.value

@@ -121,7 +121,7 @@ def varied(docs: DataFrame, candidates: pd.DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in range(2)], names=["word", "context"])
 
     found = common.in_python(docs.filter("toxic = 1").select("text"), contexts, "word long, context long")
-    n = found.distinct().groupBy("word").agg(F.count("*").alias("n")).toPandas().set_index("word").n
+    n = found.distinct().groupBy("word").agg(F.count("*").alias("n")).toArrow().to_pandas().set_index("word").n
     return candidates.word.map(n).fillna(0).to_numpy() >= np.maximum(CONTEXTS * candidates.toxic.to_numpy(), 3)
 
 
@@ -212,7 +212,7 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA) ->
     toxic, clean, total = (round(x or 0) for x in sizes)
     model = pd.DataFrame({"word": [], "odds": [], "toxic": [], "clean_share": []})
     if toxic and clean:
-        model = log_odds(counts, toxic, clean, total).toPandas()
+        model = log_odds(counts, toxic, clean, total).toArrow().to_pandas()
         model = model[(model.odds < 0) | varied(source, model)]
     words, odds = model.word.to_numpy(np.int64), model.odds.to_numpy(np.float64) - DRIFT
     tokens = counts.agg(F.sum("clean_tokens")).first()[0] or 0
