@@ -8,7 +8,9 @@ are near duplicates if their fingerprints differ in at most ``RADIUS`` bits; gro
 Search: the bits are dealt to disjoint random strips, one for each level. At a level, each of many random
 centres keeps the fingerprints whose weight against it on that strip is small; close fingerprints are often
 kept together, others seldom. The lists are filtered again at the next level until they are expected to be
-small and are then compared all with all. The number of centres of the first level is what makes the
+small and are then compared all with all. A list that a large group of copies makes longer than ``LONG`` is
+split: its parts share ``LEADERS`` rows, which link what the parts hold of the group; what isn't linked with the
+list's largest group is then compared with the whole list, part by part. The number of centres of the first level is what makes the
 recall of a pair at the full radius ``RECALL``; nearer pairs have more. Depth depends on the number of
 fingerprints only, so no list is cut off however large a group of copies makes it.
 
@@ -28,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common, graph, text
@@ -41,6 +43,8 @@ LIST, SHUFFLED = 1_024, 20_000
 #: Longer lists (large groups of copies) are linked through leaders first, with the same components.
 EXACT = 4_096
 CENTRES = 80
+#: Rows of a list that one task takes, and rows that all parts of a longer one share.
+LONG, LEADERS = 80_000, 512
 
 _LANES = np.zeros(256, np.uint64)
 for _b in range(8):
@@ -261,7 +265,50 @@ def forest(signs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, label[rows]
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+def _split(lists: DataFrame, long: DataFrame, link, radius: int, part: int) -> DataFrame:
+    """Edges (a, b) of the lists in ``long`` (list, n), in tasks of about ``part`` rows.
+
+    Every pair that one task would find is linked: within a part; through the leaders, which all parts have; or, if a
+    row isn't in the list's main group by then, by a comparison with all rows of the list.
+    """
+    rows = lists.join(common.small(long), "list")
+    rows = common.written(rows.select("list", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / part)).alias("part"), "node", *_WORDS), "long")
+    order = F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("node", F.lit(2)), "node"))
+    leaders = rows.withColumn("rank", order).filter(F.col("rank") <= LEADERS).select("list", "node", *_WORDS)
+    parts = rows.select("list", "part").distinct()
+    both = common.written(rows.unionByName(leaders.join(common.small(parts), "list").select(*rows.columns)).dropDuplicates(["list", "part", "node"]), "parts")
+    edges = common.written(both.groupBy("list", "part").applyInArrow(link, "a long, b long"), "edges")
+    roots = graph.components(edges)
+    rows = common.written(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    counts = rows.groupBy("list", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("list").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    main = common.written(main.select("list", F.col("top.root").alias("main"), (F.col("all") - F.col("top.n")).alias("free")).filter("free > 0"), "main")
+    blocks = main.select("list", F.explode(F.sequence(F.lit(0), F.ceil(F.col("free") / part).cast("int") - 1)).alias("block"))
+    free = rows.join(common.small(main), "list").filter("root <> main").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("free") / part)).cast("int"))
+    free = free.select("list", "block", "node", "root", *_WORDS).join(common.small(parts), "list")
+    again = rows.select(*(F.col(c).alias(c) for c in rows.columns))
+    every = again.join(common.small(blocks), "list").select("list", "part", "block", "node", "root", *_WORDS)
+
+    def compare(one, two):
+        first, second = (np.empty(0, np.int64), np.empty(0, np.int64))
+        if one.num_rows and two.num_rows:
+            x, y = (_signs(np.stack([t.column(c).to_numpy() for c in _WORDS], 1)) for t in (one, two))
+            out = []
+            roots_x, roots_y = one.column("root").to_numpy(), two.column("root").to_numpy()
+            for at in range(0, len(x), step := max(1, 4_000_000 // len(y))):
+                near = (x[at : at + step] @ y.T >= BITS - 2 * radius) & (roots_x[at : at + step, None] != roots_y)
+                i, j = np.nonzero(near)
+                out.append(np.unique(np.stack([one.column("root").to_numpy()[at + i], roots_y[j]], 1), axis=0))
+            first, second = np.unique(np.concatenate(out), axis=0).T
+        common.release()
+        return pa.table({"a": pa.array(np.ascontiguousarray(first)), "b": pa.array(np.ascontiguousarray(second))})
+
+    # roots are nodes too, so links between them link their groups
+    key = ["list", "part", "block"]
+    return edges.union(free.groupBy(*key).cogroup(every.groupBy(*key)).applyInArrow(compare, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, long: int = LONG, part: int = SHUFFLED) -> DataFrame:
     """(key, doc_id, rows, group_id, group_size, keep) for each different row of ``docs`` that has a word.
 
     ``group_id`` is the least doc_id of the group, ``group_size`` counts rows, ``keep`` marks the one that stays.
@@ -302,8 +349,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECAL
         common.release()
         return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
-    spread_out = common.in_python(distinct, spread, "list long, node long, f0 long, f1 long, f2 long, f3 long")
-    edges = spread_out.groupBy("list").applyInArrow(link, "a long, b long")
+    lists = common.written(common.in_python(distinct, spread, "list long, node long, f0 long, f1 long, f2 long, f3 long"), "lists")
+    longer = common.written(lists.groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > long), "longer")
+    if longer.isEmpty():
+        edges = lists.groupBy("list").applyInArrow(link, "a long, b long")
+    else:
+        rest = lists.join(common.small(longer), "list", "left_anti")
+        edges = rest.groupBy("list").applyInArrow(link, "a long, b long").union(_split(lists, longer, link, radius, part))
     roots = graph.components(edges)
     grouped = prints.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")

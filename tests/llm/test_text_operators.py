@@ -254,6 +254,27 @@ def test_near_copies_of_groups_above_any_share_of_the_table(spark, size, group):
     assert all(found[i] == (0 if i < group else i) for i in range(size))
 
 
+def test_lists_in_parts_give_the_same_groups(spark):
+    # a large group of copies, a chain that only its neighbours link, and unrelated texts
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(4_000)]
+    base, chain = rng.choices(words, k=150), rng.choices(words, k=150)
+    docs = []
+    for i in range(900):
+        own = list(base)
+        for _ in range(3):
+            own[rng.randrange(150)] = f"edit{rng.randrange(10**6)}"
+        docs.append((i, " ".join(own)))
+    for i in range(60):
+        chain[(5 * i) % 150 : (5 * i) % 150 + 5] = rng.choices(words, k=5)
+        docs.append((1_000 + i, " ".join(chain)))
+    docs += [(2_000 + i, " ".join(rng.choices(words, k=150))) for i in range(300)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {r.doc_id: r.group_id for r in simhash.near_duplicates(table).collect()}
+    parts = {r.doc_id: r.group_id for r in simhash.near_duplicates(table, long=300, part=200).collect()}
+    assert len(set(whole.values())) < 500 and parts == whole
+
+
 def brute_repeats(texts, least=50):
     seen, out = {}, {}
     for i in sorted(texts):
