@@ -108,6 +108,22 @@ def without(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     return docs.join(small(gone), (row_key(*columns) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, hadoop = _file_system(spark, path)
+    return system.exists(hadoop)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it doesn't exist."""
+    system, hadoop = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(hadoop)] if system.exists(hadoop) else []
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else unmarked (the join then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

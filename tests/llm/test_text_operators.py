@@ -313,6 +313,31 @@ def test_index_finds_passages_of_earlier_batches(spark):
     assert set(rows) == {4, 6} and all(r.sources == [1] and [(s.start, s.end) for s in r.spans] == [(80, 140)] for r in rows.values())
 
 
+def test_index_goes_on_in_another_session(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    filler = lambda n: " ".join(f"f{n}x{i}" for i in range(80))
+    folder = f"file://{tmp_path}/index"
+    found = {}
+    for session, texts in enumerate([{1: filler(1) + " " + passage, 2: filler(2)}, {3: passage + " " + filler(3), 4: filler(4) + " " + other}, {5: other + " " + passage, 6: filler(6)}, {7: filler(2)}, {8: other}]):
+        own = spark.newSession()
+        index = substrings.WindowIndex(own, folder)
+        assert len(index.runs) == [0, 1, 2, 3, 2][session] and len(index.texts) == session
+        rows = substrings.add_documents(index, own.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+        found |= {r.doc_id: (r.sources, [tuple(s) for s in r.spans]) for r in rows}
+        index.close()
+    assert found == {3: ([1], [(0, 60)]), 5: ([1, 4], [(0, 120)]), 7: ([2], [(0, 80)]), 8: ([4], [(0, 60)])}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("corpusloom_run")]
+
+
+def test_texts_as_document_numbers(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    filler = lambda n: " ".join(f"f{n}x{i}" for i in range(80))
+    docs = [(f"doc-{i:03}", filler(i) + (" " + passage if i in (3, 17, 31) else "")) for i in range(40)]
+    rows = substrings.repeated_passages(spark.createDataFrame(docs, "doc_id string, text string").repartition(3)).collect()
+    assert {r.doc_id: r.sources for r in rows} == {"doc-017": ["doc-003"], "doc-031": ["doc-003"]}
+
+
 # 4
 
 
