@@ -326,7 +326,8 @@ def test_index_goes_on_in_another_session(spark, tmp_path):
         rows = substrings.add_documents(index, own.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
         found |= {r.doc_id: (r.sources, [tuple(s) for s in r.spans]) for r in rows}
         index.close()
-    assert found == {3: ([1], [(0, 60)]), 5: ([1, 4], [(0, 120)]), 7: ([2], [(0, 80)]), 8: ([4], [(0, 60)])}
+    # one anchor of the last text is an anchor of text 5 first: in text 4 words before the passage have a lesser one
+    assert found == {3: ([1], [(0, 60)]), 5: ([1, 4], [(0, 120)]), 7: ([2], [(0, 80)]), 8: ([4, 5], [(0, 60)])}
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("corpusloom_run")]
 
 
