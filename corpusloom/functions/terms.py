@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.tables import cut, small
+
 WORD = r"[\p{L}\p{N}]+"
 
 STOPWORDS = {
@@ -25,9 +27,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: bool = True) -> DataFrame:
-    """(key, term): one row for each word."""
+def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: bool = True, by_key: bool = False) -> DataFrame:
+    """(key, term): one row for each word.
+
+    With ``by_key`` the documents are partitioned by key before, so that nothing by document shuffles words later.
+    """
     column = F.lower(text) if fold else F.col(text)
+    docs = docs.select(key, text).repartition(key) if by_key else docs
     return docs.select(key, F.explode(words(column)).alias("term"))
 
 
@@ -37,7 +43,21 @@ def stopword_table(spark) -> DataFrame:
 
 def without_stopwords(rows: DataFrame, stopwords: DataFrame) -> DataFrame:
     """Rows (.., lang, term) whose term isn't a stop word of their language; stop words are a fixed list."""
-    return rows.join(F.broadcast(stopwords), ["lang", "term"], "left_anti")
+    return rows.join(small(stopwords), ["lang", "term"], "left_anti")
+
+
+def unless_stopword(rows: DataFrame, stopwords: DataFrame, match: str = "raw") -> DataFrame:
+    """Rows (.., lang, term) without stop words, by ``match``: ``raw`` compares terms as they are, ``normalized`` in
+    lower case, ``both`` either way."""
+    own = stopwords.select(F.col("lang").alias("_lang"), F.col("term").alias("_term")).distinct()
+    same = F.col("lang") == F.col("_lang")
+    raw, low = F.col("term") == F.col("_term"), F.lower("term") == F.col("_term")
+    out = rows
+    if match in ("raw", "both"):
+        out = out.join(small(own), same & raw, "left_anti")
+    if match in ("normalized", "both"):
+        out = out.join(small(own), same & low, "left_anti")
+    return out
 
 
 def term_counts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -80,7 +100,8 @@ def inverse_frequency(counts: DataFrame, kind: str, documents: DataFrame, by: st
 
 def tf_idf(counts: DataFrame, documents: DataFrame, tf: str = "freq", idf: str = "std", key: str = "doc_id") -> DataFrame:
     """(key, term, weight): weights divided by their sum over the document; null where that is 0."""
-    weights = term_frequency(counts, tf, key).join(inverse_frequency(counts, idf, documents, key=key), "term")
+    inverse = cut(inverse_frequency(counts, idf, documents, key=key))
+    weights = term_frequency(counts, tf, key).join(small(inverse), "term")
     raw = F.col("tf") * F.col("idf")
     total = F.sum(raw).over(Window.partitionBy(key))
     return weights.select(key, "term", raw.alias("raw"), F.try_divide(raw, F.when(F.abs(total) > 1e-12, total)).alias("weight"))

@@ -2,62 +2,105 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.tables import cut, small
+
+#: Cells that terms are hashed to; the model's size, whatever the vocabulary.
+DIMENSIONS = 1 << 20
+
 
 def targets(rows: DataFrame, is_class: Column) -> DataFrame:
     """``rows`` with target 1 for the class and -1 for the rest."""
     return rows.withColumn("target", F.when(is_class, 1.0).otherwise(-1.0))
 
 
-def train_svr(vectors: DataFrame, labelled: DataFrame, key: str = "doc_id", weight: str = "raw", c: float = 10.0, epsilon: float = 0.1, rounds: int = 40, terms: int = 50_000) -> tuple[DataFrame, float]:
+def _cell(dimensions: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(dimensions)).cast("int")
+
+
+def minimised(value, start: np.ndarray, tolerance: float, rounds: int) -> tuple[np.ndarray, int]:
+    """Minimum of a smooth convex function by L-BFGS; ``value`` gives it and its gradient at a point.
+
+    Ends when the gradient's norm is ``tolerance`` times that at the start, or after ``rounds``.
+    """
+    x, (f, g) = start, value(start)
+    first, pairs = np.linalg.norm(g), deque(maxlen=10)
+    for number in range(rounds):
+        if np.linalg.norm(g) <= tolerance * first:
+            return x, number
+        q, alphas = g.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ q) / (s @ y)
+            alphas.append(a)
+            q -= a * y
+        if pairs:
+            s, y = pairs[-1]
+            q *= (s @ y) / (y @ y)
+        else:
+            q /= max(first, 1.0)
+        for (s, y), a in zip(pairs, reversed(alphas), strict=True):
+            q += s * (a - (y @ q) / (s @ y))
+        step, slope = 1.0, g @ q
+        while True:
+            new = x - step * q
+            f_new, g_new = value(new)
+            if f_new <= f - 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        if (new - x) @ (g_new - g) > 1e-12:
+            pairs.append((new - x, g_new - g))
+        x, f, g = new, f_new, g_new
+    return x, rounds
+
+
+def train_svr(vectors: DataFrame, labelled: DataFrame, key: str = "doc_id", weight: str = "raw", c: float = 10.0, epsilon: float = 0.1, tolerance: float = 3e-4, rounds: int = 200, dimensions: int = DIMENSIONS) -> tuple[DataFrame, float]:
     """(weights (term, weight), bias) of a linear support vector regression, L2-regularised with squared
-    epsilon-insensitive loss, by full gradients summed in Spark.
+    epsilon-insensitive loss: the minimum of |w|^2 / 2 + c * sum of losses, bias included in w.
 
-    Rows (key, term, weight) of ``vectors`` are joined with (key, target) of ``labelled`` once and kept; each
-    round sends the model, at most ``terms`` terms of greatest document frequency, to the executors and gets
-    one gradient row a term back.
+    Rows (key, term, weight) of ``vectors`` are joined with (key, target) of ``labelled`` and written once; every
+    evaluation sends the model to the executors and adds up one gradient a task. No term is left out: terms are
+    hashed to ``dimensions`` cells, which bounds the model. Training ends by the gradient, not by rounds.
     """
     spark = vectors.sparkSession
-    counts = vectors.join(labelled.select(key), key).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(terms)
-    vocabulary = counts.select("term").toPandas().term.tolist()
-    index = {t: i for i, t in enumerate(vocabulary)}
-    numbers = spark.createDataFrame(pd.DataFrame({"term": vocabulary, "i": range(len(vocabulary))}), "term string, i int")
-    rows = vectors.join(F.broadcast(numbers), "term").join(labelled.select(key, "target"), key)
-    packed = rows.groupBy(key).agg(F.first("target").alias("target"), F.collect_list("i").alias("i"), F.collect_list(F.col(weight).cast("double")).alias("x")).persist()
-    n = packed.count()
-    w, bias = np.zeros(len(index)), 0.0
-    velocity, speed = np.zeros(len(index) + 1), 0.9
-    step = 0.5
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((w, bias))
-
-        def gradient(batches, shared=shared):
-            w, bias = shared.value
-            total = np.zeros(len(w) + 1)
-            for pdf in batches:
-                for target, i, x in zip(pdf.target, pdf.i, pdf.x, strict=True):
-                    i, x = np.asarray(i), np.asarray(x)
-                    error = float(x @ w[i]) + bias - target
-                    if abs(error) > epsilon:
-                        slack = 2 * (abs(error) - epsilon) * np.sign(error)
-                        np.add.at(total, i, slack * x)
-                        total[-1] += slack
+    rows = vectors.join(labelled.select(key, "target"), key)
+    packed = cut(rows.groupBy(key).agg(F.first("target").alias("target"), F.collect_list(_cell(dimensions)).alias("i"), F.collect_list(F.col(weight).cast("double")).alias("x")).select("target", "i", "x"))
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(w)
+
+        def gradient(batches):
+            own = shared.value
+            total, loss = np.zeros(len(own)), 0.0
+            for batch in batches:
+                lists, values = batch.column("i"), batch.column("x").flatten().to_numpy(zero_copy_only=False)
+                cells, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                error = np.bincount(row, values * own[cells], len(sizes)) + own[-1] - batch.column("target").to_numpy()
+                slack = np.sign(error) * np.maximum(np.abs(error) - epsilon, 0)
+                loss += float(slack @ slack)
+                total[:-1] += np.bincount(cells, slack[row] * values, len(own) - 1)
+                total[-1] += slack.sum()
             some = np.flatnonzero(total)
-            yield pd.DataFrame({"i": some, "g": total[some]})
-
-        found = packed.mapInPandas(gradient, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
-        g = np.zeros(len(index) + 1)
-        g[found.i.to_numpy()] = found.g.to_numpy() / max(n, 1)
-        g[:-1] += w / (c * max(n, 1))
-        velocity = speed * velocity - step * g
-        w, bias = w + velocity[:-1], bias + velocity[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(2 * total[some], loss))], names=["i", "g"])
+
+        found = packed.mapInArrow(gradient, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toArrow()
         shared.unpersist()
-    packed.unpersist()
-    return spark.createDataFrame(pd.DataFrame({"term": vocabulary, "weight": w}), "term string, weight double"), float(bias)
+        at, g = found.column("i").to_numpy(), found.column("g").to_numpy()
+        out = w.copy()
+        out[at[at >= 0]] += c * g[at >= 0]
+        return float(w @ w) / 2 + c * float(g[at < 0].sum()), out
+
+    w, _ = minimised(value, np.zeros(dimensions + 1), tolerance, rounds)
+    some = np.flatnonzero(w[:-1])
+    table = spark.createDataFrame(pa.table({"cell": pa.array(some.astype(np.int32)), "weight": pa.array(w[some])}))
+    terms = vectors.select("term").distinct().withColumn("cell", _cell(dimensions))
+    return terms.join(small(table), "cell").select("term", "weight"), float(w[-1])
 
 
 def predict(vectors: DataFrame, weights: DataFrame, bias: float = 0.0, min_tokens: int = 0, min_terms: int = 0, key: str = "doc_id", weight: str = "tf") -> DataFrame:
@@ -65,3 +108,22 @@ def predict(vectors: DataFrame, weights: DataFrame, bias: float = 0.0, min_token
     joined = vectors.join(weights, "term", "left").groupBy(key).agg(F.sum("n").alias("tokens"), F.count("weight").alias("matched"), F.sum(F.col(weight) * F.col("weight")).alias("s"))
     enough = (F.col("tokens") > min_tokens) & (F.col("matched") > min_terms)
     return joined.select(key, F.when(enough, F.col("s") + bias).alias("score"))
+
+
+def classifier(spark: SparkSession, mode: str, path: str | None = None, vectors: DataFrame | None = None, labelled: DataFrame | None = None, **options) -> tuple[DataFrame, float]:
+    """(weights, bias) by ``mode``: ``load`` reads ``path``; ``train`` trains; ``all`` reads ``path`` if it holds a
+    classifier, else trains and saves there. What a mode needs must be given."""
+    from corpusloom.operators import store
+
+    needs = {"load": (path,), "train": (vectors, labelled), "all": (path, vectors, labelled)}
+    if mode not in needs or any(x is None for x in needs[mode]):
+        raise ValueError(f"mode {mode!r} doesn't have what it needs")
+    if mode == "all":
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        mode = "load" if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else "all"
+    if mode == "load":
+        return store.load_classifier(spark, path)
+    weights, bias = train_svr(vectors, labelled, **options)
+    if path is not None:
+        store.save_classifier(weights, bias, path)
+    return weights, bias

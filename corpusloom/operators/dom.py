@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markup, terms
-from corpusloom.operators.order import cut
+from corpusloom.functions.tables import cut
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markup, terms, urls
+from corpusloom.functions.tables import small
 
 BY_EXTENSION = {"html": "HTML", "htm": "HTML", "xhtml": "HTML", "pdf": "PDF", "js": "JavaScript", "txt": "PlainText", "csv": "StructuredPlainText", "json": "JSON", "xml": "XML", "svg": "SVG", "rtf": "RTF", "xlsx": "OOXML", "docx": "OOXML", "pptx": "OOXML", "odt": "ODF", "ods": "ODF", "png": "IMAGE", "jpg": "IMAGE", "jpeg": "IMAGE", "gif": "IMAGE", "zip": "ZIP", "jar": "ZIP"}
 BY_MIME = {"text/html": "HTML", "application/xhtml+xml": "HTML", "application/pdf": "PDF", "text/javascript": "JavaScript", "application/javascript": "JavaScript", "text/plain": "PlainText", "application/json": "JSON", "text/xml": "XML", "application/xml": "XML", "image/svg+xml": "SVG", "application/rtf": "RTF", "text/rtf": "RTF", "image/png": "IMAGE", "image/jpeg": "IMAGE", "application/zip": "ZIP"}
@@ -73,7 +74,7 @@ def decoded(rows: DataFrame, limit: int = 100 << 20) -> DataFrame:
 
 def language_by_stopwords(docs: DataFrame, stopwords: DataFrame) -> DataFrame:
     """(doc_id, guess, hits): the language with most stop words in the text; ties by name; none gives no row."""
-    hits = terms.tokens(docs).join(F.broadcast(stopwords), "term").groupBy("doc_id", "lang").agg(F.count("*").alias("hits"))
+    hits = terms.tokens(docs).join(small(stopwords), "term").groupBy("doc_id", "lang").agg(F.count("*").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "lang"))
     return hits.withColumn("_rank", rank).filter("_rank = 1").select("doc_id", F.col("lang").alias("guess"), "hits")
 

@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's checkpoint folder, which all executors share.
-
-    Where none is set and Spark runs in one process (tests, local runs) a temporary folder is; on a cluster that is
-    an error.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from corpusloom.functions.tables import cut
 
 
 def numbered(df: DataFrame, *keys: str, name: str = "seq") -> DataFrame:

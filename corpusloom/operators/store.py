@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
+from corpusloom.functions.tables import small
 from corpusloom.operators import state
 
 
@@ -128,7 +129,7 @@ def classifier_for(docs: DataFrame, registry: DataFrame, default: str, least: fl
     ``registry`` (lang, model) has a row a language and is broadcast.
     """
     own = F.when(F.col("confidence") >= least, F.col("_model"))
-    return docs.join(F.broadcast(registry.withColumnRenamed("model", "_model")), "lang", "left").withColumn("model", F.coalesce(own, F.lit(default))).drop("_model")
+    return docs.join(small(registry.withColumnRenamed("model", "_model")), "lang", "left").withColumn("model", F.coalesce(own, F.lit(default))).drop("_model")
 
 
 def save_classifier(weights: DataFrame, bias: float, path: str) -> None:

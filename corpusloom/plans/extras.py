@@ -46,12 +46,12 @@ def decoded_pages(pages: DataFrame) -> DataFrame:
 @query("script_links", "pages")
 def script_links(pages: DataFrame) -> DataFrame:
     scripts = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("script")
-    return pages.select("page_id", scripts).select("page_id", F.size(strings.links_of_script("script")).alias("links"))
+    return pages.select("page_id", scripts).select("page_id", F.explode(strings.links_of_script("script")).alias("link"))
 
 
-@query("raw_byte_urls", "pages")
+@query("raw_byte_urls", "pages")  # whole pages as bytes
 def raw_byte_urls(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.explode(strings.links_of_bytes(F.encode("url", "utf-8"))).alias("url"))
+    return pages.select("page_id", F.explode(strings.links_of_bytes(F.encode("html", "utf-8"))).alias("url"))
 
 
 @query("robust_text", "documents", "select doc_id, text, 0 as invalid from documents")
@@ -69,7 +69,7 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
 def banner_removal(pages: DataFrame) -> DataFrame:
     weights = pages.sparkSession.createDataFrame([(w, 1.0) for w in BANNER_WORDS], "term string, weight double")
     table = dom.scored(dom.nodes(pages), weights)
-    return dom.without(pages, table, dom.banners(table, 0.2, 0.3)).select("page_id", F.length("html").alias("length"))
+    return dom.without(pages, table, dom.banners(table, 0.2, 0.3, by_tag=True)).select("page_id", "html")
 
 
 @query("warc_round_trip", "pages", "select url as target_uri, page_id, octet_length(encode(html)) as bytes, md5(html) as digest from pages")
@@ -100,5 +100,5 @@ def classifier_svr(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a regression machine trained on the labelled ones."""
     vectors = terms.term_frequency(terms.term_counts(terms.tokens(documents)), "freq")
     known = classify.targets(documents.join(labels, "doc_id"), F.col("quality") == 1)
-    weights, bias = classify.train_svr(vectors, known, weight="tf", rounds=15)
+    weights, bias = classify.train_svr(vectors, known, weight="tf")
     return classify.predict(vectors, weights, bias, min_tokens=10, min_terms=3)

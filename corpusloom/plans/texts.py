@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markup, terms
+from corpusloom.functions.tables import cut, small
 from corpusloom.operators import classify, formats
 from corpusloom.plans.registry import query
 
@@ -15,7 +16,7 @@ _STOP = "(values " + ", ".join(f"('{lang}', '{w}')" for lang, ws in terms.STOPWO
 
 
 def _counts(documents: DataFrame) -> DataFrame:
-    return terms.term_counts(terms.tokens(documents))
+    return terms.term_counts(terms.tokens(documents, by_key=True))
 
 
 def _n(documents: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ _PAIRS = "(select doc_id as a, lead(doc_id) over (partition by lang order by doc
 def doc_cosine(documents: DataFrame) -> DataFrame:
     """Each document and the next of its language."""
     pairs = documents.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")).alias("b")).filter("b is not null")
-    return terms.cosine(pairs, terms.tf_idf(_counts(documents), _n(documents))).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return terms.cosine(pairs, cut(terms.tf_idf(_counts(documents), _n(documents)))).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query("embedding_centroid_cosine", "embeddings", """with e as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
@@ -95,7 +96,7 @@ def embedding_centroid_cosine(embeddings: DataFrame) -> DataFrame:
     """Cosine of each vector and the mean of its label."""
     rows = embeddings.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     means = rows.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    sums = rows.join(F.broadcast(means), ["label", "i"]).groupBy("vec_id", "label")
+    sums = rows.join(small(means), ["label", "i"]).groupBy("vec_id", "label")
     return sums.agg(F.round(F.try_divide(F.sum(F.col("x") * F.col("m")), F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("m") * F.col("m")))), 5).alias("cosine"))
 
 

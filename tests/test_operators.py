@@ -7,6 +7,7 @@ import unicodedata
 import zipfile
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,37 @@ def test_classifier_separates(spark):
     assert classify.predict(vectors, weights, bias, 100, 1).filter("score is not null").count() == 0
 
 
+def test_svr_against_the_closed_form(spark):
+    # without insensitivity the machine is a ridge regression
+    rng = random.Random(8)
+    rows, y = [], []
+    for i in range(40):
+        y.append((i, rng.uniform(-1, 1)))
+        rows += [(i, f"t{j}", rng.uniform(-1, 1)) for j in range(6) if rng.random() < 0.8]
+    weights, bias = classify.train_svr(spark.createDataFrame(rows, "doc_id int, term string, raw double"), spark.createDataFrame(y, "doc_id int, target double"), c=2.0, epsilon=0.0, tolerance=1e-9)
+    a = np.zeros((40, 7))
+    a[:, 6] = 1
+    for i, t, x in rows:
+        a[i, int(t[1:])] = x
+    exact = np.linalg.solve(a.T @ a + np.eye(7) / 4.0, a.T @ np.array([v for _, v in y]))
+    got = {r.term: r.weight for r in weights.collect()}
+    assert np.allclose([got[f"t{j}"] for j in range(6)] + [bias], exact, atol=1e-5)
+
+
+def test_classifier_modes(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i % 2}", 1.0) for i in range(10)], "doc_id int, term string, raw double")
+    known = spark.createDataFrame([(i, 1.0 - 2 * (i % 2)) for i in range(10)], "doc_id int, target double")
+    path = str(tmp_path / "model")
+    with pytest.raises(ValueError):
+        classify.classifier(spark, "load")
+    with pytest.raises(ValueError):
+        classify.classifier(spark, "train", vectors=rows)
+    trained = classify.classifier(spark, "all", path, rows, known)
+    loaded = classify.classifier(spark, "load", path)
+    again = classify.classifier(spark, "all", path, rows, known)
+    assert loaded[1] == again[1] == trained[1] and sorted(loaded[0].collect()) == sorted(trained[0].collect()) and loaded[0].count() == 2
+
+
 def test_banner_removal(spark):
     banner = "<div id='b'><p>We use cookies consent</p><p>accept cookies privacy</p></div>"
     pages = spark.createDataFrame([(1, f"<html><body><h1>News</h1>{banner}<p>Weather is fine today</p></body></html>"), (2, "<html><body><p>Nothing here</p></body></html>")], "page_id int, html string")
