@@ -10,8 +10,9 @@ in common. Every pair of texts with a common key is a candidate; groups are the
 that are near: an edit distance of at most ``NEAR`` of the longer text's bytes.
 
 Candidates are verified in two rounds. First each text is compared with the ``PARTNERS`` that are the hub of
-most of its keys, the text that has most candidates. Then all candidates that are still in different groups are, whatever their number. Before
-texts are fetched, pairs are rejected by a lower bound: an edit changes ``GRAM`` of a text's GRAM-byte sequences
+most of its keys, the text that has most candidates. Then all candidates that are still in different groups are, whatever their number:
+texts that are compared with the same ones are cut into blocks, and for two blocks each text is sent once, not once a
+pair. Pairs are rejected by a lower bound first: an edit changes ``GRAM`` of a text's GRAM-byte sequences
 at most, so texts whose counts of them (over ``CELLS`` hash cells) differ more aren't near.
 
 Defined results
@@ -46,7 +47,9 @@ CLASS = 1.22
 PARTNERS = 2
 GRAM, CELLS = 4, 512
 #: Limits up to which the bands of ``TOGETHER`` pairs are worked on at once; wider ones are fast one by one.
-WIDE, TOGETHER = 400, 512
+WIDE, TOGETHER = 400, 4096
+#: Bytes and texts of a block.
+BLOCK, MEMBERS = 256 << 10, 128
 PERIOD = 4096
 STRETCH = 12 << 20
 _END = 0xFF  # no byte of UTF-8
@@ -269,24 +272,31 @@ def _settled(a: bytes, b: bytes, limit: int) -> bool | None:
     return True if len(a) <= limit else None
 
 
+def _reach(longer: int, shorter: int, limit: int) -> tuple[int, int]:
+    """Diagonals (above, below) the first that a path of at most ``limit`` edits touches: what it leaves to one side
+    it must come back from."""
+    return (limit - longer + shorter) // 2, (limit + longer - shorter) // 2
+
+
 def within(a: bytes, b: bytes, limit: int) -> bool:
     """Whether the Levenshtein distance is at most ``limit``, by bit-parallel columns of a diagonal band (Hyyrö)."""
     a, b = _stripped(a, b)
     known = _settled(a, b, limit)
     if known is not None:
         return known
-    if len(a) <= 2 * limit + 1:
+    above, below = _reach(len(a), len(b), limit)
+    width = above + below + 1
+    if len(a) <= width:
         return edit_distance(a, b) <= limit
     masks: dict[int, int] = {}
     codes = np.frombuffer(a, np.uint8)
     for c in set(b):
         masks[c] = int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little")
-    # the band has the rows of a from limit above the diagonal to limit below it
-    width = 2 * limit + 1
+    # the band has the rows of a from above to below the diagonal
     full, diagonal = (1 << width) - 1, 1 << width - 1
-    plus, minus, score = full & ~((1 << width - limit - 1) - 1), 0, limit
-    at, most = limit + 1 - width, 2 * limit + len(b) - len(a)
-    turn, horizontal = len(a) - limit, 1 << width - 2
+    plus, minus, score = full & ~((1 << above) - 1), 0, below
+    at, most = -above, limit + below + len(b) - len(a)
+    turn, horizontal = len(a) - below, 1 << width >> 2
     for i, c in enumerate(b):
         m = masks[c]
         m = (m >> at if at >= 0 else m << -at) & full
@@ -308,22 +318,22 @@ def within(a: bytes, b: bytes, limit: int) -> bool:
 
 def _banded(group: list[tuple[int, bytes, bytes]]) -> np.ndarray:
     """``within`` of many stripped texts (limit, a, b) at once; the first of each is longer than the band."""
-    reach = max(limit for limit, _, _ in group)
-    width = 2 * reach + 1
+    above, below = (max(x) for x in zip(*(_reach(len(a), len(b), limit) for limit, a, b in group), strict=True))
+    width = above + below + 1
     words = -(-width // 64)
     n, m = (np.array([len(g[k]) for g in group]) for k in (1, 2))
     limits = np.array([g[0] for g in group])
-    rows, columns = np.full((len(group), reach + n.max() + 64 * words), _END, np.uint8), np.full((len(group), m.max()), _END, np.uint8)
+    rows, columns = np.full((len(group), above + n.max() + 64 * words), _END, np.uint8), np.full((len(group), m.max()), _END, np.uint8)
     for k, (_, a, b) in enumerate(group):
-        rows[k, reach : reach + len(a)] = np.frombuffer(a, np.uint8)
+        rows[k, above : above + len(a)] = np.frombuffer(a, np.uint8)
         columns[k, : len(b)] = np.frombuffer(b, np.uint8)
     full = np.full((words, 1), 2**64 - 1, np.uint64)
     full[-1] = (1 << width - 64 * (words - 1)) - 1
-    first = np.array([((1 << width) - 1 & ~((1 << reach) - 1)) >> 64 * w & 2**64 - 1 for w in range(words)], np.uint64)
+    first = np.array([((1 << width) - 1 & ~((1 << above) - 1)) >> 64 * w & 2**64 - 1 for w in range(words)], np.uint64)
     out = np.zeros(len(group), np.bool_)
     own, one = np.arange(len(group)), np.uint64(1)
     plus, minus = np.repeat(first[:, None], len(own), 1), np.zeros((words, len(own)), np.uint64)
-    score, most, turn = np.full(len(own), reach), 2 * reach + m - n, n - reach
+    score, most, turn = np.full(len(own), below), limits + below + m - n, n - below
     top_word, top_bit = (width - 1) >> 6, np.uint64((width - 1) & 63)
     for i in range(int(m.max())):
         if i % 32 == 0:
@@ -403,6 +413,7 @@ def near_all(one: list[bytes], two: list[bytes], share: float = NEAR) -> np.ndar
         to = bisect_right(left, left[at][0] * 5 // 4 + 4, at, min(at + TOGETHER, len(left)), key=lambda x: x[0])
         some = left[at:to]
         at, reach = to, some[-1][0]
+        # no band is wider, as differences of lengths are within the limits
         for limit, _, a, b, k in some:
             if len(a) <= 2 * reach + 1:
                 out[k] = edit_distance(a, b) <= limit
@@ -467,10 +478,72 @@ def near(a: bytes, b: bytes, share: float = NEAR) -> bool:
     return True
 
 
-def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR, likely: bool = False) -> DataFrame:
+def units(pairs: DataFrame, sizes: DataFrame, block: int = BLOCK, members: int = MEMBERS) -> DataFrame:
+    """(unit, a, b): each pair of ``pairs`` with the two blocks that its texts, of ``sizes`` (node, size), are in.
+
+    Texts that have partners in common get a common label, the least text near by, and the texts of a label are cut
+    into blocks. Labels decide only how often a text is sent.
+    """
+    both = common.written(pairs.union(pairs.select("b", "a")).toDF("v", "w"), "both")
+    label = F.least(F.min("w"), F.col("v"))
+    first = common.written(both.groupBy("v").agg(label.alias("first")), "labels")
+    second = both.join(common.small(first.toDF("w", "label")), "w").groupBy("v").agg(F.min("label").alias("label"))
+    nodes = common.written(second.join(sizes.toDF("v", "size"), "v"), "labels")
+    cuts = nodes.groupBy("label").agg(F.greatest(F.ceil(F.sum("size") / F.lit(block)), F.ceil(F.count("*") / F.lit(members)), F.lit(1)).alias("cuts"))
+    blocks = common.small(common.written(nodes.join(common.small(cuts), "label").select("v", F.xxhash64("label", F.expr("pmod(v, cuts)")).alias("block")), "blocks"))
+    found = pairs.join(blocks.toDF("a", "p"), "a").join(blocks.toDF("b", "q"), "b")
+    return found.select(F.xxhash64(F.least("p", "q"), F.greatest("p", "q")).alias("unit"), "a", "b")
+
+
+def verified_in_blocks(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, share: float = NEAR) -> DataFrame:
+    """As ``verified``, for many pairs of few texts: for each unit of ``units`` a text is sent once, then its pairs.
+
+    What is sent grows with the pairs divided by the texts of a block.
+    """
+    spark = pairs.sparkSession
+    cut = common.written(units(pairs, sizes), "units")
+    wanted = cut.select("unit", F.col("a").alias("node")).union(cut.select("unit", "b")).distinct()
+    some = common.small(common.written(wanted.select(F.col("node").alias("_node")).distinct(), "wanted"))
+    own = docs.join(some, F.col("node") == F.col("_node"), "left_semi").select("node", "text").dropDuplicates(["node"])
+    sent = wanted.join(own.hint("merge"), "node").select("unit", F.lit(False).alias("pair"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = sent.union(cut.select("unit", F.lit(True), "a", "b", F.lit(None).cast("string")))
+
+    def tested(held):
+        a, b, x, y, allowed = zip(*held, strict=True)
+        one, two = (np.frombuffer(b"".join(t), np.uint8).reshape(-1, CELLS).astype(np.int16) for t in ([u[1] for u in x], [u[1] for u in y]))
+        limit = np.array(allowed)
+        kept = np.flatnonzero(np.abs(one - two).sum(1) <= 2 * GRAM * limit)
+        kept = kept[near_all([x[k][0] for k in kept], [y[k][0] for k in kept], share)]
+        return pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())], names=["a", "b"])
+
+    def check(batches):
+        unit, texts, held, have = None, {}, [], 0
+        for batch in batches:
+            for at, pair, a, b, t in zip(*(batch.column(c).to_pylist() for c in ("unit", "pair", "a", "b", "text")), strict=True):
+                if at != unit:
+                    unit, texts = at, {}
+                if not pair:
+                    raw = t.encode()
+                    texts[a] = raw, sketch_of(np.frombuffer(raw, np.uint8)).tobytes()
+                    have += len(raw)
+                    continue
+                x, y = texts[a], texts[b]
+                held.append((a, b, x, y, int(share * max(len(x[0]), len(y[0])))))
+                if len(held) >= 2 * TOGETHER or have > STRETCH:
+                    yield tested(held)
+                    held, have = [], 0
+        if held:
+            yield tested(held)
+
+    # the number of parts is given, as few bytes are much work here
+    parts = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit", "pair")
+    return common.written(common.in_python(parts, check, "a long, b long"), "near")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose texts, of ``docs`` (node, text), are near.
 
-    ``likely`` pairs are tried one by one, as an upper bound soon accepts those that are near; either way is exact.
+    Pairs are tried one by one, as an upper bound soon accepts those that are near.
     Texts are bucketed by node once; of the two joins only the pairs and the first texts are shuffled.
     """
     spark = pairs.sparkSession
@@ -483,11 +556,10 @@ def verified(pairs: DataFrame, docs: DataFrame, share: float = NEAR, likely: boo
     texts = spark.table(name)
 
     def check(batches):
-        for batch in batches if likely else text.gathered(batches, "x", STRETCH):
+        for batch in batches:
             one, two = batch.column("x"), batch.column("y")
             x, y = ([t.encode() for t in c.to_pylist()] for c in (one, two))
-            found = [near(p, q, share) for p, q in zip(x, y, strict=True)] if likely else near_all(x, y, share)
-            take = pa.array(np.flatnonzero(found))
+            take = pa.array(np.flatnonzero([near(p, q, share) for p, q in zip(x, y, strict=True)]))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
@@ -513,11 +585,11 @@ def fingerprints(docs: DataFrame, share: float = NEAR, bands: int = BANDS, gap:
     common.discard(table)
     sketched = common.written(sketches(texts, common.written(rows.select("node").distinct(), "nodes")), "sketches")
     tried = common.written(stars(rows, share), "stars")
-    first = verified(common.written(possible(tried, sketched, share), "possible"), texts, share, True)
+    first = verified(common.written(possible(tried, sketched, share), "possible"), texts, share)
     rest = candidates(rows, graph.components(first), share)
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = common.written(possible(rest.join(known, ["a", "b"], "left_anti"), sketched, share), "possible")
-    roots = graph.components(first.union(verified(rest, texts, share)))
+    rest = common.written(rest.join(known, ["a", "b"], "left_anti"), "rest")
+    roots = graph.components(first.union(verified_in_blocks(rest, texts, sketched.select("node", "size"), share)))
     rows = source.select("doc_id", "node").join(prints, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
     return rows.join(groups, "root", "left").select("doc_id", "fingerprint", "group_id", "group_size")

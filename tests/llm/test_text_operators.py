@@ -437,6 +437,37 @@ def test_copies_far_from_each_other_join_their_original(spark):
     assert np.mean([group[i] == i // 100 * 100 for i in group]) > 0.99
 
 
+def test_texts_of_many_pairs_are_sent_by_blocks(spark):
+    # 60 texts against 400, as of a large group and what is near none of it, and 300 pairs of their own
+    many = [(a, 1_000 + b) for a in range(60) for b in range(400)] + [(5_000 + 2 * k, 5_001 + 2 * k) for k in range(300)]
+    nodes = sorted({n for pair in many for n in pair})
+    found = edits.units(spark.createDataFrame(many, "a long, b long"), spark.createDataFrame([(n, 2_000) for n in nodes], "node long, size long")).collect()
+    assert sorted((r.a, r.b) for r in found) == many
+    sent = {(r.unit, n) for r in found for n in (r.a, r.b)}
+    assert len(sent) < 3_000 and max(Counter(r.unit for r in found).values()) < 20_000
+
+
+def test_blocks_give_the_pairs_that_are_near(spark):
+    rng = random.Random(23)
+    base = [rng.choice(["red", "green", "blue", "yellow", "brown"]) + str(rng.randrange(99)) for _ in range(150)]
+    texts = {}
+    for k in range(70):
+        own = list(base)
+        for _ in range(rng.randrange(12)):
+            own[rng.randrange(150)] = f"w{rng.randrange(10**4)}"
+        texts[k] = " ".join(own)
+    pairs = list(itertools.combinations(texts, 2))
+    expected = [(a, b) for a, b in pairs if edits.edit_distance(texts[a].encode(), texts[b].encode()) <= int(edits.NEAR * max(len(texts[a]), len(texts[b])))]
+    docs = spark.createDataFrame(list(texts.items()), "node long, text string")
+    sizes = docs.select("node", F.octet_length("text").cast("long").alias("size"))
+    found = edits.verified_in_blocks(spark.createDataFrame(pairs, "a long, b long"), docs.union(docs), sizes).collect()
+    assert sorted((r.a, r.b) for r in found) == expected and 100 < len(expected) < len(pairs) - 100
+
+
+def test_bands_are_as_wide_as_paths_within_the_limit():
+    assert edits._reach(2_400, 2_400, 120) == (60, 60) and edits._reach(2_410, 2_400, 120) == (55, 65)
+
+
 # 5
 
 
