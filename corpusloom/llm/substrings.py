@@ -7,11 +7,13 @@ anchor was seen first. The anchors of a new batch are combined by hash, partitio
 merge-joined with every run; those that no run has become a new run, and ``FANOUT`` runs are compacted into one by
 merging them bucket by bucket. An index in a folder stays: ``add_documents`` of a later session checks new documents
 against all earlier ones. Matches are verified on the words of both documents and extended to maximal equal runs; those of ``MIN_WORDS`` or more
-are reported.
+are reported. What an anchor's first document lacks, another earlier one may have: of the documents with recurring
+anchors, every run of ``MIN_WORDS`` words whose least anchor recurs is hashed as well, and the first document with the
+same run is its source. No pair of documents is formed for that; a kept index keeps the hashes of these runs.
 
 Defined results
     * words are compared without case and punctuation; texts of fewer than ``MIN_WORDS`` words have no repeat
-    * the first document (batches in order, then doc_id, null last) that has an anchor is its source; repeats
+    * the first document (batches in order, then doc_id, null last) that has an anchor, or a run, is its source; repeats
       are those of later documents, so a passage stays once; repeats within a document don't count
     * rows equal in doc_id and text are one document; null and empty texts have no repeats
     * one row for each document with a repeat: its repeated words and merged spans of word numbers
@@ -25,7 +27,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +98,8 @@ class WindowIndex:
         self.runs: list[tuple[str, str]] = []
         self.compacted: list[tuple[str, str]] = []
         self.texts: list[str] = []
+        self.windows: list[str] = []
+        self.least: int | None = None
         self.version = 0
         for version in sorted(self._versions(), reverse=True):
             path = f"{self.folder}/manifest-{version}"
@@ -104,6 +108,10 @@ class WindowIndex:
                 rows = spark.read.parquet(path).orderBy("number").collect()
                 self.buckets = next((r.buckets for r in rows if r.kind == "run"), self.buckets)
                 self.texts = [r.path for r in rows if r.kind == "texts"]
+                kept = [r for r in rows if r.kind == "windows"]
+                if len(kept) != len(self.texts):
+                    raise ValueError(f"{self.folder} was written without the runs of its documents; it must be built anew")
+                self.windows, self.least = [r.path for r in kept], int(kept[0].columns) if kept else None
                 self.runs = [(self._attach(r.path, r.columns), r.path) for r in rows if r.kind == "run"]
                 break
 
@@ -132,16 +140,24 @@ class WindowIndex:
         docs.select("key", "text").write.parquet(path)
         self.texts.append(path)
 
+    def keep_windows(self, rows: DataFrame, least: int) -> None:
+        """Keep the first places of hashed runs (window, place) of ``least`` words."""
+        path = self._path("windows")
+        rows.write.parquet(path)
+        self.windows.append(path)
+        self.least = least
+
     def commit(self) -> None:
         """Write a manifest of what the index holds now."""
         columns = lambda name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.table(name).schema)
         rows = [(k, "run", path, self.buckets, columns(name)) for k, (name, path) in enumerate(self.runs)]
         rows += [(len(self.runs) + k, "texts", path, self.buckets, None) for k, path in enumerate(self.texts)]
+        rows += [(len(rows) + k, "windows", path, self.buckets, str(self.least)) for k, path in enumerate(self.windows)]
         self.version += 1
         self.spark.createDataFrame(rows, "number int, kind string, path string, buckets int, columns string").coalesce(1).write.parquet(f"{self.folder}/manifest-{self.version}")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """(key, doc_id, word, source) of the anchors of ``batch`` that an earlier document has; indexes the rest.
+        """(hash, key, doc_id, word, source) of the anchors of ``batch`` that an earlier document has; indexes the rest.
 
         ``source`` is the struct (doc_id, key, word) of the first place. An anchor's places are combined before they
         are shuffled; only anchors that recur are joined with their places again.
@@ -159,7 +175,7 @@ class WindowIndex:
         recurring = common.written(rows.filter("shared or not new").select(F.col("hash").alias("_hash"), "source"), "recurring")
         common.discard(rows)
         matches = batch.join(common.small(recurring), F.col("hash") == F.col("_hash")).filter(F.col("key") != F.col("source.key"))
-        return common.written(matches.select("key", "doc_id", "word", "source"), "matches")
+        return common.written(matches.select("hash", "key", "doc_id", "word", "source"), "matches")
 
     def compact(self) -> None:
         """Merge all runs into one. An anchor is in one run only, so nothing is compared; nothing is shuffled."""
@@ -187,11 +203,11 @@ class WindowIndex:
     def drop(self) -> None:
         """Delete all runs and texts."""
         self._drop(self.runs + self.compacted)
-        for path in self.texts:
+        for path in self.texts + self.windows:
             common.drop_path(self.spark, path)
         for version in self._versions():
             common.drop_path(self.spark, f"{self.folder}/manifest-{version}")
-        self.runs, self.compacted, self.texts = [], [], []
+        self.runs, self.compacted, self.texts, self.windows = [], [], [], []
 
     def _drop(self, runs: list[tuple[str, str]]) -> None:
         for name, path in runs:
@@ -209,21 +225,79 @@ def equal_runs(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tup
     return [(int(breaks[i]) + 1 + lo, int(breaks[i + 1]) + lo) for i in long]
 
 
-def verified(matches: DataFrame, docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(key, doc_id, start, end, source_id) of the maximal equal runs on the diagonals of ``matches``."""
+def window_table(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(window, key, doc_id, start, old): the runs of ``least`` words of ``docs`` (key, doc_id, old, text, hashes) whose
+    least anchor is one of ``hashes``, which a document shares with others."""
+
+    def find(batches):
+        top = np.uint64(2**64 - 1)
+        for batch in batches:
+            lists = batch.column("hashes")
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            every = lists.flatten().to_numpy().view(np.uint64)
+            for chunk in text.chunks(batch.column("text")):
+                w = text.words(chunk)
+                whole = text.windows(w.hash, least)
+                if not len(whole):
+                    continue
+                parts, doc = np.minimum(text.windows(w.hash, WINDOW), top - np.uint64(1)), w.doc
+                at = chunk.rows.start
+                owner = np.repeat(np.arange(chunk.n), np.diff(ends[at : at + chunk.n + 1])).astype(np.uint64)
+                shared = text.mix(every[ends[at] : ends[at + chunk.n]] ^ text.mix(owner + np.uint64(1)))
+                mask = np.isin(text.mix(parts ^ text.mix(doc[: len(parts)].astype(np.uint64) + np.uint64(1))), shared)
+                near = least - WINDOW + 1
+                lows = _sliding(np.where(mask, parts, top), near, np.minimum)
+                chosen = np.flatnonzero((lows == _sliding(parts, near, np.minimum)) & (lows != top) & (doc[: len(whole)] == doc[least - 1 :]))
+                rows = pa.array(doc[chosen] + at)
+                start = pa.array((chosen - w.first[doc[chosen]]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(whole[chosen].view(np.int64)), *(batch.column(c).take(rows) for c in ("key", "doc_id")), start, batch.column("old").take(rows)], names=["window", "key", "doc_id", "start", "old"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return common.in_python(docs.select("key", "doc_id", "old", "text", "hashes"), find, f"window long, key long, doc_id {kind}, start long, old boolean")
+
+
+def shared_windows(matches: DataFrame, texts: DataFrame, least: int, index: WindowIndex | None) -> DataFrame:
+    """(key, doc_id, start, end, source_id) of the runs that an earlier document has, whichever it is.
+
+    Of a run's places that of an ``old`` text comes first, as it is the first that has the run's anchor, then the one
+    that ``index`` keeps, then those of new texts; the index keeps the first places of new runs.
+    """
+    places = matches.select("key", "doc_id", "hash").union(matches.select("source.key", "source.doc_id", "hash"))
+    places = places.groupBy("key", "doc_id").agg(F.collect_set("hash").alias("hashes"))
+    rows = window_table(texts.join(places, "key"), least)
+    place = F.struct(F.when(F.col("old"), 0).otherwise(2).alias("age"), F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    rows = rows.select("window", "start", place.alias("place"))
+    if index is not None:
+        rows = common.written(rows, "windows")
+        if index.windows:
+            known = index.spark.read.parquet(*index.windows)
+            rows = rows.union(known.select("window", F.lit(None).cast("long"), F.struct(F.lit(1).alias("age"), "place.none", "place.doc_id", "place.key")))
+        firsts = rows.groupBy("window").agg(F.min("place").alias("place"), F.max(F.col("place.age") == 1).alias("known"))
+        index.keep_windows(firsts.filter("not known").select("window", "place"), least)
+    rows = rows.withColumn("first", F.min("place").over(Window.partitionBy("window"))).filter("place.age = 2 and place.key <> first.key")
+    rows = rows.select("place.key", "place.doc_id", "start", F.col("first.doc_id").alias("source_id"))
+    island = F.col("start") - F.row_number().over(Window.partitionBy("key", "source_id").orderBy("start"))
+    spans = rows.withColumn("island", island).groupBy("key", "doc_id", "source_id", "island").agg(F.min("start").alias("start"), (F.max("start") + least).alias("end"))
+    return common.written(spans.select("key", "doc_id", "start", "end", "source_id"), "spans")
+
+
+def verified(matches: DataFrame, docs: DataFrame, least: int = MIN_WORDS, index: WindowIndex | None = None) -> DataFrame:
+    """(key, doc_id, start, end, source_id) of the maximal equal runs on the diagonals of ``matches``, and of all runs of
+    ``least`` words that any other earlier document has (``shared_windows``)."""
     spark = matches.sparkSession
     source = [F.col("source.key").alias("source_key"), F.col("source.doc_id").alias("source_id")]
     pairs = matches.groupBy("key", "doc_id", *source).agg(F.collect_set(F.col("word") - F.col("source.word")).alias("shifts"))
     pairs = common.written(pairs, "pairs")
     wanted = pairs.select("key").union(pairs.select("source_key")).distinct()
     wanted = common.written(wanted.withColumnRenamed("key", "_wanted"), "wanted")
-    texts = docs.join(common.small(wanted), F.col("key") == F.col("_wanted"), "left_semi").select("key", "text").dropDuplicates(["key"])
+    old = F.col("old") if "old" in docs.columns else F.lit(False)
+    texts = docs.join(common.small(wanted), F.col("key") == F.col("_wanted"), "left_semi").select("key", "text", old.alias("old")).dropDuplicates(["key"])
     # bucketed by key, so that of both joins only pairs and the sources' texts are shuffled
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"corpusloom_texts_{uuid.uuid4().hex}", common.scratch(spark, "texts")
     texts.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").option("path", path).format("parquet").saveAsTable(name)
     texts = spark.table(name)
-    both = pairs.join(texts.toDF("source_key", "source_text"), "source_key").join(texts, "key")
+    both = pairs.join(texts.select(F.col("key").alias("source_key"), F.col("text").alias("source_text")), "source_key").join(texts, "key")
 
     def compare(batches):
         for batch in batches:
@@ -250,7 +324,7 @@ def verified(matches: DataFrame, docs: DataFrame, least: int = MIN_WORDS) -> Dat
 
     kind = matches.schema["doc_id"].dataType.simpleString()
     runs = common.in_python(both.select("key", "doc_id", "text", "source_id", "source_text", "shifts"), compare, f"key long, doc_id {kind}, start long, end long, source_id {kind}")
-    runs = common.written(runs, "spans")
+    runs = common.written(runs, "spans").union(shared_windows(matches, texts, least, index))
     spark.sql(f"drop table if exists {name}")
     common.drop_path(spark, path)
     return runs
@@ -278,14 +352,18 @@ def _merged(spans: DataFrame) -> DataFrame:
 def add_documents(index: WindowIndex, docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """As ``repeated_passages`` for a new batch of documents, against all that ``index`` holds and each other; the
     batch is added to the index and a manifest written. Rows that the index has already repeat nothing."""
+    if index.least not in (None, least):
+        raise ValueError(f"the index keeps runs of {index.least} words")
     source = docs.select(common.row_key("doc_id", "text").alias("key"), "doc_id", "text")
     texts = index.spark.read.parquet(*index.texts) if index.texts else None
     table = common.written(anchor_table(source.withColumn("batch", F.lit(0))).drop("batch"), "table")
     matches = index.add(table)
     index.keep_texts(source)
+    every = source.select("key", "text", F.lit(False).alias("old"))
+    every = every if texts is None else every.union(texts.select("key", "text", F.lit(True)))
+    found = verified(matches, every, least, index)
     index.commit()
-    every = source.select("key", "text")
-    return _merged(verified(matches, every if texts is None else every.union(texts), least))
+    return _merged(found)
 
 
 def repeated_passages(docs: DataFrame, batches: int = BATCHES, least: int = MIN_WORDS) -> DataFrame:

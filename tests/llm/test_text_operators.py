@@ -339,6 +339,22 @@ def test_texts_as_document_numbers(spark):
     assert {r.doc_id: r.sources for r in rows} == {"doc-017": ["doc-003"], "doc-031": ["doc-003"]}
 
 
+def test_passages_that_the_first_document_of_their_anchors_lacks(spark, tmp_path):
+    # text 1 has every window of 25 words of the passage, but no 50 of its words in a row
+    words = [f"p{i}" for i in range(60)]
+    filler = lambda n: " ".join(f"f{n}x{i}" for i in range(30))
+    passage = " ".join(words)
+    texts = {1: " ".join([*words[:45], filler(1), *words[20:]]), 2: filler(2) + " " + passage, 3: passage + " " + filler(3)}
+    rows = substrings.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.sources, r.repeated_words, [tuple(s) for s in r.spans]) for r in rows] == [(3, [2], 60, [(0, 60)])]
+    found = {}
+    for number, content in texts.items():
+        index = substrings.WindowIndex(spark, f"file://{tmp_path}/index")
+        found |= {r.doc_id: r.sources for r in substrings.add_documents(index, spark.createDataFrame([(number, content)], "doc_id long, text string")).collect()}
+        index.close()
+    assert found == {3: [2]}
+
+
 # 4
 
 
