@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import terms
 from corpusloom.functions.tables import cut, small
 
 #: Cells that terms are hashed to; the model's size, whatever the vocabulary.
@@ -99,13 +100,17 @@ def train_svr(vectors: DataFrame, labelled: DataFrame, key: str = "doc_id", weig
     w, _ = minimised(value, np.zeros(dimensions + 1), tolerance, rounds)
     some = np.flatnonzero(w[:-1])
     table = spark.createDataFrame(pa.table({"cell": pa.array(some.astype(np.int32)), "weight": pa.array(w[some])}))
-    terms = vectors.select("term").distinct().withColumn("cell", _cell(dimensions))
-    return terms.join(small(table), "cell").select("term", "weight"), float(w[-1])
+    known = vectors.select("term").distinct().withColumn("cell", _cell(dimensions))
+    return known.join(small(table), "cell").select("term", "weight"), float(w[-1])
 
 
 def predict(vectors: DataFrame, weights: DataFrame, bias: float = 0.0, min_tokens: int = 0, min_terms: int = 0, key: str = "doc_id", weight: str = "tf") -> DataFrame:
-    """(key, score): null unless the document has more than ``min_tokens`` tokens and ``min_terms`` known terms."""
-    joined = vectors.join(weights, "term", "left").groupBy(key).agg(F.sum("n").alias("tokens"), F.count("weight").alias("matched"), F.sum(F.col(weight) * F.col("weight")).alias("s"))
+    """(key, score): null unless the document has more than ``min_tokens`` tokens and ``min_terms`` known terms.
+
+    Of ``weights`` with a frequency ``df`` (``cut``) the most frequent terms are broadcast.
+    """
+    rows = terms.by_term(vectors, weights, "left") if "df" in weights.columns else vectors.join(weights, "term", "left")
+    joined = rows.groupBy(key).agg(F.sum("n").alias("tokens"), F.count("weight").alias("matched"), F.sum(F.col(weight) * F.col("weight")).alias("s"))
     enough = (F.col("tokens") > min_tokens) & (F.col("matched") > min_terms)
     return joined.select(key, F.when(enough, F.col("s") + bias).alias("score"))
 
